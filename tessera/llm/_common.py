@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,43 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir; only a session without one (as in tests) gets a folder of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a session without one (as in tests) gets a folder of its own."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    set_ = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        sc.setCheckpointDir(set_ or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        current = sc._jsc.sc().getCheckpointDir()
+    return set_ or current.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder: its lineage ends there, so a lost executor costs no step before it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one operator, written as Parquet to the shared folder; they go when the operator's result is checkpointed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, f"{shared_folder(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def shards(rows: int, per_shard: int) -> int:
     """Groups that grow with the input, so that each stays of about per_shard rows."""
     return max(1, -(-rows // per_shard))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ascii_lower, read, text_of
+from tessera.llm._common import ascii_lower, checkpointed, read, small_side, text_of
 
 CONTENT_ID = ["text_sha256", "_hash", "_length"]
 
@@ -48,13 +48,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows are picked by their id and their text's content id; no text is shuffled for it."""
-    marked = docs.withColumn("_t", ascii_lower(text_of(text_col))).select("*", *_content_id("_t")).drop("_t")
-    dropped = content_winners(docs, id_col, text_col, salts).where("group_size > 1").drop("group_size")
-    from tessera.llm._common import checkpointed, small_side
-
-    dropped = checkpointed(dropped)
-    out = marked.join(small_side(dropped, dropped.count()), CONTENT_ID, "left")
-    return out.where(F.col("keep_id").isNull() | F.col(id_col).eqNullSafe(F.col("keep_id"))).select(*[docs[c] for c in docs.columns])
+    ids = [f"__ts{c}" for c in CONTENT_ID]
+    dropped = content_winners(docs, id_col, text_col, salts).where("group_size > 1")
+    dropped = checkpointed(dropped.select(*[F.col(c).alias(i) for c, i in zip(CONTENT_ID, ids, strict=True)], F.col("keep_id").alias("__tskeep")))
+    marked = docs.withColumn("__tstext", ascii_lower(text_of(text_col)))
+    marked = marked.withColumns({i: c for i, c in zip(ids, _content_id("__tstext"), strict=True)}).drop("__tstext")
+    n = dropped.count()
+    out = marked.join(small_side(dropped.withColumn("__tsin", F.lit(True)), n), ids, "left")
+    return out.where(F.col("__tsin").isNull() | F.col(id_col).eqNullSafe(F.col("__tskeep"))).select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,9 +139,10 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_sh
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns; rows that repeat a doc_id take as many as the one with most."""
-    copies = checkpointed(mix_copies(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n")).where("_n <> 1"))
-    out = docs.join(small_side(copies, copies.count()), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    return out.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.coalesce("_n", F.lit(1)).cast("int")))).select(*[docs[c] for c in docs.columns])
+    copies = mix_copies(docs, **options).groupBy(F.col("doc_id").alias("__tsid")).agg(F.max("copies").alias("__tsn"))
+    copies = checkpointed(copies.where("__tsn <> 1"))
+    out = docs.join(small_side(copies, copies.count()), docs["doc_id"].eqNullSafe(F.col("__tsid")), "left")
+    return out.withColumn("__tsk", F.explode(F.array_repeat(F.lit(0), F.coalesce("__tsn", F.lit(1)).cast("int")))).select(*docs.columns)
 
 
 def op10_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
