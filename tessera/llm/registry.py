@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, ngram_join, packing, token_counts
+from tessera.llm import exact_dedup, line_quality, mixing, ngram_join, packing, secrets, token_counts
 
 QUERIES = {
+    "op1_line_quality": line_quality.op1_line_quality,
     "op2_pack_best_fit": packing.op2_pack_best_fit,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op10_mix_pivotal": mixing.op10_mix_pivotal,
 }
 
