@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, line_quality, mixing, ngram_join, packing, secrets, token_counts
+from tessera.llm import exact_dedup, licenses, line_quality, mixing, ngram_join, packing, secrets, token_counts
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_license_scan": licenses.op8_license_scan,
     "op10_mix_pivotal": mixing.op10_mix_pivotal,
 }
 
