@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, licenses, line_quality, mixing, ngram_join, packing, secrets, token_counts
+from tessera.llm import exact_dedup, licenses, line_quality, mixing, ngram_join, packing, secrets, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
@@ -12,9 +12,12 @@ QUERIES = {
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_license_scan": licenses.op8_license_scan,
+    "op6_warc_round_trip": warc.op6_warc_round_trip,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_mix_pivotal": mixing.op10_mix_pivotal,
 }
 
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op9_url_filter": url_filter.SQL,
 }
