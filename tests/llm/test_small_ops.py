@@ -36,7 +36,7 @@ def test_packing_is_a_whole_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    texts = [*AWKWARD, *[f"repeat {k} " * (k % 97) for k in range(400)], "longer than a window " * 4000]
+    texts = [*AWKWARD, "É İstanbul ÉÀ, ñÑ. ß ẞ ĳĲ ǅ e\u0301 E\u0301, ﬁ 'S it'S a\u00adb x\u200by Ω̈ \x85a\u2028b", *[f"repeat {k} " * (k % 97) for k in range(400)], "longer than a window " * 4000]
     rows = packing.pack_documents(documents(spark, texts), per_shard=200).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
