@@ -10,6 +10,7 @@ Only piece lengths move; texts and ids of tokens never leave the task that reads
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ WINDOW = 4096
 PER_SHARD = 4000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Words whose ids a Python worker remembers (about 60 MB).
-CACHED_WORDS = 300_000
+#: Runs of a generation that a Python worker remembers (two are about 250 MB).
+CACHED_WORDS = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -40,55 +41,50 @@ def _latin(run: str) -> bool:
 class WordIds(dict):
     """Ids of the space-free runs of a text as little-endian bytes.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its runs. A run of
-    ASCII letters is looked up in lower case, and a comma or stop after it on its own, as the tokenizer does.
+    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its runs. A word in
+    lower case goes to the tokenizer's model at once, others in their lower-case form, and a comma or stop
+    after a word on its own, as the tokenizer splits them; all other runs take the whole tokenizer. Runs are remembered
+    in two generations: when the younger is full it becomes the older, from which what is met again moves on.
     """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model = self.tokenizer.model
+        self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, run: str) -> bytes:
-        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, run: str) -> bytes:
-        if run[-1] in ",." and _latin(run[:-1]):
+        if run in self.older:
+            out = self.older[run]
+        elif not run:
+            out = b""
+        elif _latin(run):
+            low = run.lower()
+            if low == run:
+                out = self._pack([t.id for t in self.model.tokenize(run if run.isascii() else self.spelled(run)[0][0])])
+            else:
+                out = self[low] if _latin(low) else self._pack(self.tokenizer.encode(run, add_special_tokens=False).ids)
+        elif run[-1] in ",." and _latin(run[:-1]):
             out = self[run[:-1]] + self[run[-1]]
-        elif run.isascii() and run.isalpha() and not run.islower():
-            out = self[run.lower()]
         else:
-            out = self._encode(run)
+            out = self._pack(self.tokenizer.encode(run, add_special_tokens=False).ids)
         if len(run) <= 64:
             self[run] = out
         return out
 
-    def learn(self, runs: set[str]) -> None:
-        """Encodes many unknown words in one call; the tokenizer numbers the words it finds."""
-        words = {r[:-1] if r[-1] in ",." else r for r in runs if r}
-        words = [w for w in {w.lower() if w.isascii() else w for w in words} if len(w) <= 64 and w not in self and _latin(w)]
-        if not words:
-            return
-        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
-        if len(np.unique(of)) == len(words) == of[-1] + 1:
-            at = np.searchsorted(of, np.arange(len(words) + 1))
-            for k, w in enumerate(words):
-                self[w] = ids[at[k] : at[k + 1]].tobytes()
-
     def text(self, text: str) -> bytes:
-        runs = text.replace("\n", " ").split(" ")
-        if len(runs) > 64:
-            new = {r for r in runs if r not in self}
-            if len(new) > 8:
-                self.learn(new)
-        out = b"".join(map(self.__getitem__, runs)) if text else b""
         if len(self) > CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
-        return out
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -97,7 +93,6 @@ _ENCODERS: dict[str, WordIds] = {}
 def encoder(name: str) -> WordIds:
     if name not in _ENCODERS:
         _ENCODERS[name] = WordIds(name)
-        _ENCODERS[name][""] = b""
     return _ENCODERS[name]
 
 
@@ -105,14 +100,14 @@ def _cut(window: int, tokenizer: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
+            docs = batch.column(0).to_pylist()
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids_of.setdefault("", b"")
-                ids = ids_of.text(text.as_py() or "") + end
+            for doc, text in zip(docs, batch.column(1), strict=True):
+                ids = ids_of.text(text.as_py()) + end
                 total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    out.append((doc, start, len(part) // 4, zlib.crc32(part), total))
+                for at in range(0, total, window):
+                    piece = ids[4 * at : 4 * (at + window)]
+                    out.append((doc, at, len(piece) // 4, zlib.crc32(piece), total))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
