@@ -15,3 +15,8 @@ def group(pieces: DataFrame, key: list[str]) -> DataFrame:
 def class_key(*columns: str):
     """One key for pieces that can stand for each other."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def distinct_shapes(pieces: DataFrame, key: list[str]) -> DataFrame:
+    """Shapes to be measured once, with a representative; results join back on the key."""
+    return pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("pieces"), F.min("piece_id").alias("representative"))

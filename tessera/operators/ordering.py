@@ -107,3 +107,14 @@ def warm_lane(lanes: DataFrame) -> DataFrame:
 def beam(states: DataFrame, width: int = 16) -> DataFrame:
     """The first width states of each job by the eight keys of the capacity beam."""
     return top_k(states, ["job_id"], [F.desc("placed"), F.desc("material"), F.asc("cavities"), F.asc("max_side"), F.asc("area"), F.asc("span"), F.desc("contact"), F.asc("hash")], width)
+
+
+def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """1, 2, ... over all rows, without one task that holds them all: ranks in range partitions, moved by the rows of the partitions before."""
+    from tessera.plans.checkpoints import checkpointed
+
+    parts = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return parts.withColumn("_k", local).join(F.broadcast(before), "_part").withColumn(name, (F.col("_k") + F.col("_before")).cast("long")).drop("_part", "_k", "_n", "_before")

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import grid
-from tessera.operators import families, geometry, ordering, pareto, preflight, relations, report, short_side, spatial
+from tessera.functions import curves, grid
+from tessera.operators import families, geometry, kernels, lattice, ordering, pareto, preflight, relations, report, short_side, spatial
 from tessera.plans.checkpoints import checkpointed
 from tessera.plans.instances import Instances, cte, with_ring
+from tessera.search import jobs
+from tessera.sources import dxf, polygons
+from tessera.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -353,16 +356,16 @@ def _shapes(t: Instances) -> DataFrame:
 
 
 _RING = "CASE kind WHEN 0 THEN [[0, 0], [w, 0], [w, h], [0, h]] WHEN 1 THEN [[0, 0], [w, 0], [0, h]] ELSE [[0, 0], [w, 0], [w - w // 4, h], [w // 4, h]] END"
-_TURNS = f""", s AS (SELECT piece_id, {_RING} AS ring FROM piece), t AS (SELECT piece_id, rotation, mirrored, list_transform(ring, p -> CASE WHEN mirrored THEN [-p[1], p[2]] ELSE p END) AS r0 FROM s, (VALUES (0), (90), (180), (270)) AS a(rotation), (VALUES (false), (true)) AS b(mirrored)),
-u AS (SELECT piece_id, rotation, mirrored, list_transform(r0, p -> CASE rotation WHEN 0 THEN p WHEN 90 THEN [-p[2], p[1]] WHEN 180 THEN [-p[1], -p[2]] ELSE [p[2], -p[1]] END) AS ring FROM t)"""
-_MIN_X, _MIN_Y, _MAX_X, _MAX_Y = ("list_min(list_transform(ring, p -> p[1]))", "list_min(list_transform(ring, p -> p[2]))", "list_max(list_transform(ring, p -> p[1]))", "list_max(list_transform(ring, p -> p[2]))")
+_TURNS = f""", s AS (SELECT piece_id, {_RING} AS ring FROM piece), t AS (SELECT piece_id, rotation, mirrored, list_transform(ring, lambda p: CASE WHEN mirrored THEN [-p[1], p[2]] ELSE p END) AS r0 FROM s, (VALUES (0), (90), (180), (270)) AS a(rotation), (VALUES (false), (true)) AS b(mirrored)),
+u AS (SELECT piece_id, rotation, mirrored, list_transform(r0, lambda p: CASE rotation WHEN 0 THEN p WHEN 90 THEN [-p[2], p[1]] WHEN 180 THEN [-p[1], -p[2]] ELSE [p[2], -p[1]] END) AS ring FROM t)"""
+_MIN_X, _MIN_Y, _MAX_X, _MAX_Y = ("list_min(list_transform(ring, lambda p: p[1]))", "list_min(list_transform(ring, lambda p: p[2]))", "list_max(list_transform(ring, lambda p: p[1]))", "list_max(list_transform(ring, lambda p: p[2]))")
 
 
 def _text(ring: Column) -> Column:
     return F.array_join(F.transform(ring, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), ";")
 
 
-_SQL_TEXT = "array_to_string(list_transform({r}, p -> p[1] || ',' || p[2]), ';')"
+_SQL_TEXT = "array_to_string(list_transform({r}, lambda p: p[1] || ',' || p[2]), ';')"
 
 
 @query(cte("piece") + _TURNS + f"SELECT piece_id, CAST(rotation AS BIGINT) AS rotation, mirrored, {_SQL_TEXT.format(r='ring')} AS ring FROM u")
@@ -370,7 +373,7 @@ def transformed_geometry(t: Instances) -> DataFrame:
     return _shapes(t).select("piece_id", F.col("rotation").cast("long").alias("rotation"), "mirrored", _text(F.col("ring")).alias("ring"))
 
 
-@query(cte("piece") + _TURNS + f"SELECT piece_id, CAST(rotation AS BIGINT) AS rotation, mirrored, {_SQL_TEXT.format(r=f'list_transform(ring, p -> [p[1] - {_MIN_X}, p[2] - {_MIN_Y}])')} AS ring FROM u")
+@query(cte("piece") + _TURNS + f"SELECT piece_id, CAST(rotation AS BIGINT) AS rotation, mirrored, {_SQL_TEXT.format(r=f'list_transform(ring, lambda p: [p[1] - {_MIN_X}, p[2] - {_MIN_Y}])')} AS ring FROM u")
 def bottom_left_anchoring(t: Instances) -> DataFrame:
     return _shapes(t).select("piece_id", F.col("rotation").cast("long").alias("rotation"), "mirrored", _text(grid.bottom_left(F.col("ring"))).alias("ring"))
 
@@ -397,7 +400,7 @@ def inner_fit_bounds(t: Instances) -> DataFrame:
 @query(
     cte("piece")
     + f""", s AS (SELECT piece_id, {_RING} AS ring FROM piece), i AS (SELECT piece_id, ring, unnest(generate_series(0, len(ring) - 1)) AS k, unnest([1, -1]) AS d0 FROM s), d AS (SELECT piece_id, ring, k, d FROM (SELECT DISTINCT piece_id, ring, k FROM i), (VALUES (1), (-1)) AS w(d)),
-t AS (SELECT piece_id, array_to_string(list_transform(generate_series(0, len(ring) - 1), j -> ring[((k + j * d) % len(ring) + len(ring)) % len(ring) + 1][1] || ',' || ring[((k + j * d) % len(ring) + len(ring)) % len(ring) + 1][2]), ';') AS reading FROM d)
+t AS (SELECT piece_id, array_to_string(list_transform(generate_series(0, len(ring) - 1), lambda j: ring[((k + j * d) % len(ring) + len(ring)) % len(ring) + 1][1] || ',' || ring[((k + j * d) % len(ring) + len(ring)) % len(ring) + 1][2]), ';') AS reading FROM d)
 SELECT piece_id, sha256(min(reading)) AS ring_hash FROM t GROUP BY piece_id"""
 )
 def cyclic_ring_identity(t: Instances) -> DataFrame:
@@ -572,7 +575,7 @@ def seed_non_domination(t: Instances) -> DataFrame:
 
 @query(
     cte("endpoint")
-    + """, v AS (SELECT endpoint_id, list_filter([CASE WHEN cavities > 2 THEN 'cavities' END, CASE WHEN isolated > 2 THEN 'isolated' END, CASE WHEN 5 * largest < 4 * (largest + placed) THEN 'component' END, CASE WHEN 20 * gap > 3 * hull THEN 'gap' END], x -> x IS NOT NULL) AS bad,
+    + """, v AS (SELECT endpoint_id, list_filter([CASE WHEN cavities > 2 THEN 'cavities' END, CASE WHEN isolated > 2 THEN 'isolated' END, CASE WHEN 5 * largest < 4 * (largest + placed) THEN 'component' END, CASE WHEN 20 * gap > 3 * hull THEN 'gap' END], lambda x: x IS NOT NULL) AS bad,
   least(1000000, greatest(cavities - 2, 0) * 1000000 // 2) + least(1000000, greatest(isolated - 2, 0) * 1000000 // 2) + least(1000000, greatest(4 * (largest + placed) - 5 * largest, 0) * 1000000 // greatest(4 * (largest + placed), 1)) + least(1000000, greatest(20 * gap - 3 * hull, 0) * 1000000 // (3 * hull)) AS deficit FROM endpoint)
 SELECT endpoint_id, len(bad) = 0 AS passes, array_to_string(bad, ',') AS violated, deficit FROM v"""
 )
@@ -650,3 +653,133 @@ SELECT job_id, min_by(endpoint_id, (-tier, CASE WHEN tier < 2 THEN -across ELSE
 def directional_incumbent(t: Instances) -> DataFrame:
     o = t.endpoint.withColumn("across", F.col("max_side") - 900).withColumn("depth", F.col("span"))
     return short_side.incumbent(o.withColumn("tier", short_side.fill_tier(F.col("across"), F.lit(900).cast("long"))))
+
+
+# --- kernels, sources, search, streams ---------------------------------------------------------------------------
+
+
+@query(cte("piece") + "SELECT piece_id, CAST(greatest(1, ceil((30 + piece_id % 300) * (pi() / 180.0) / (2.0 * acos(1.0 - least(0.25, w / 10000.0) / (w / 10000.0))))) AS BIGINT) AS chords FROM piece")
+def arc_flattening(t: Instances) -> DataFrame:
+    points = curves.arc_points(F.lit(0.0), F.lit(0.0), F.col("w") / 10000.0, F.lit(15.0), (30 + F.col("piece_id") % 300).cast("double"), 0.25)
+    return t.piece.select("piece_id", (F.size(points) - 1).cast("long").alias("chords"))
+
+
+@query(cte("piece") + f"SELECT piece_id, {AREA2} AS hull_area, CASE WHEN kind = 0 THEN 2 * (w + 10500) * (h + 10500) END AS box_area FROM piece")
+def collision_geometry(t: Instances) -> DataFrame:
+    shapes = with_ring(t.piece)
+    grown = kernels.collision_rings(shapes, 5250.0)
+    return grown.join(shapes.select("piece_id", "kind"), "piece_id").select("piece_id", "hull_area", F.when(F.col("kind") == 0, F.col("collision_area")).alias("box_area"))
+
+
+@query()
+def transform_generation(t: Instances) -> DataFrame:
+    out = kernels.transforms(with_ring(t.piece))
+    return out.select("piece_id", "index", F.round("rotation", 6).alias("rotation"), "mirrored", "reason", _text(F.col("ring")).alias("ring"))
+
+
+@query(
+    cte("piece")
+    + """SELECT a.piece_id AS first_id, b.piece_id AS second_id, 2 * (a.w + b.w) * (a.h + b.h) AS doubled_area FROM piece a JOIN piece b ON a.type = b.type AND a.kind = 0 AND b.kind = 0 AND a.piece_id % 16 = b.piece_id % 16 AND a.piece_id < b.piece_id"""
+)
+def convex_no_fit_polygons(t: Instances) -> DataFrame:
+    s = with_ring(t.piece).where("kind = 0").withColumn("slot", F.col("piece_id") % 16)
+    a = s.select("type", "slot", F.col("piece_id").alias("first_id"), F.col("ring").alias("fixed"))
+    b = s.select("type", "slot", F.col("piece_id").alias("second_id"), F.col("ring").alias("moving"))
+    return kernels.no_fit_rings(a.join(b, ["type", "slot"]).where("first_id < second_id")).select("first_id", "second_id", "doubled_area")
+
+
+@query(cte("piece") + f"SELECT piece_id, {AREA2} AS doubled_area FROM piece")
+def periodic_cells(t: Instances) -> DataFrame:
+    # triangles and quadrangles tile the plane with their half turns, so the best cell wastes nothing
+    return kernels.periodic_cells(with_ring(t.piece)).select("piece_id", "doubled_area")
+
+
+@query(
+    cte("job", "inst")
+    + """, f AS (SELECT job_id, count(*) AS n, sum(w * h) AS a FROM (SELECT i.job_id, w, h, sum(w) OVER (PARTITION BY i.job_id ORDER BY ord) AS reach, sheet_w, sheet_h FROM inst i JOIN job j ON i.job_id = j.job_id WHERE h <= sheet_h) WHERE reach <= sheet_w GROUP BY job_id)
+SELECT f.job_id, CAST(2 * (sheet_w::HUGEINT * sheet_h - a) AS VARCHAR) AS total, n AS placed FROM f JOIN job j ON f.job_id = j.job_id"""
+)
+def free_material(t: Instances) -> DataFrame:
+    from pyspark.sql import Window
+
+    i = t.inst.join(t.job, "job_id").where("h <= sheet_h")
+    i = i.withColumn("reach", F.sum("w").over(Window.partitionBy("job_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))).where("reach <= sheet_w")
+    x, z = F.col("reach") - F.col("w"), F.lit(0).cast("long")
+    ring = F.array(*[grid.point(a, b) for a, b in ((x, z), (F.col("reach"), z), (F.col("reach"), F.col("h")), (x, F.col("h")))])
+    layouts = i.groupBy("job_id", "sheet_w", "sheet_h").agg(F.collect_list(ring).alias("rings"))
+    return kernels.free_regions(layouts).join(layouts.select("job_id", F.size("rings").cast("long").alias("placed")), "job_id").select("job_id", "total", "placed")
+
+
+def _documents(t: Instances) -> DataFrame:
+    ring = F.transform("ring", lambda p: F.array(p["x"] / 1000.0, p["y"] / 1000.0))
+    polygon = F.struct(F.concat(F.lit("p"), "piece_id").alias("id"), (F.col("piece_id") % 3 + 1).alias("quantity"), ring.alias("points"))
+    doc = with_ring(t.piece).withColumn("job_id", F.expr("piece_id div 10")).groupBy("job_id").agg(F.collect_list(polygon).alias("polygons"))
+    return doc.select("job_id", F.to_json(F.struct(F.lit(1).alias("version"), "polygons")).alias("document"))
+
+
+@query(cte("piece") + ", g AS (SELECT *, unnest(generate_series(1, piece_id % 3 + 1)) AS n FROM piece) SELECT piece_id // 10 AS job_id, 'p' || piece_id || '#' || n AS piece_id, CAST(w // 1000 + 10 AS BIGINT) AS padded_width, CAST(h // 1000 + 10 AS BIGINT) AS padded_height, CAST((w // 1000 + 10) * (h // 1000 + 10) AS BIGINT) AS padded_area FROM g")
+def polygon_document_import(t: Instances) -> DataFrame:
+    i = polygons.instances(polygons.import_documents(_documents(t)), 10)
+    return i.select("job_id", "piece_id", *[F.col(c).cast("long").alias(c) for c in ("padded_width", "padded_height", "padded_area")])
+
+
+@query(cte("piece") + "SELECT 'p' || piece_id AS id, CAST(w // 1000 AS BIGINT) AS width, CAST(h // 1000 AS BIGINT) AS height, CAST(CASE WHEN kind = 1 THEN 3 ELSE 4 END AS BIGINT) AS segments FROM piece")
+def dxf_import(t: Instances) -> DataFrame:
+    line = lambda a, b: F.concat_ws("\n", F.lit("0\nLINE\n10"), a["x"] / 1000.0 + 7, F.lit("20"), a["y"] / 1000.0 - 3, F.lit("11"), b["x"] / 1000.0 + 7, F.lit("21"), b["y"] / 1000.0 - 3)
+    body = F.array_join(F.transform(grid.indices(F.col("ring")), lambda k: line(grid.cyclic(F.col("ring"), k), grid.cyclic(F.col("ring"), k + 1))), "\n")
+    text = F.concat(F.lit("0\nSECTION\n2\nENTITIES\n"), body, F.lit("\n0\nENDSEC\n0\nEOF\n"))
+    files = with_ring(t.piece).select(F.concat(F.lit("mem:/p"), "piece_id", F.lit(".dxf")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    return dxf.import_drawings(files).where("error IS NULL").select("id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.size("segments").cast("long").alias("segments"))
+
+
+def _job_pieces(t: Instances, per_job: int) -> DataFrame:
+    p = with_ring(t.piece).withColumn("job_id", F.call_function("div", F.col("piece_id"), F.lit(per_job)))
+    sheet = F.when(F.col("job_id") % 2 == 0, 400_000).otherwise(220_000)
+    return p.select("job_id", F.concat(F.lit("p"), "piece_id").alias("id"), "ring", F.lit(True).alias("allow_rotation"), F.lit(True).alias("allow_mirror"), F.lit(4_000).alias("padding"), sheet.alias("sheet_w"), sheet.alias("sheet_h"))
+
+
+_OUTCOME = ["job_id", "status", "placed", "unplaced", "origin", "max_side", "area", "cavities", "components", "contact", "legal"]
+
+
+@query()
+def greedy_decoder(t: Instances) -> DataFrame:
+    return jobs.layout_jobs(_job_pieces(t, 8), cap=4, decode_only=True).select(*_OUTCOME)
+
+
+@query()
+def layout_jobs(t: Instances) -> DataFrame:
+    return jobs.layout_jobs(_job_pieces(t, 6), beam=4, cap=4).select(*_OUTCOME)
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS job_id, CAST(event_id AS BIGINT) AS event_id, event_type AS kind, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS ordinal FROM events")
+def event_stream_sequencing(t: Instances) -> DataFrame:
+    return streams.run_once(t.spark, streams.sequence(streams.stream(t.spark, t.dir, "events", t.table("events").schema).select(F.col("user_id").cast("long").alias("job_id"), F.col("event_id").cast("long").alias("event_id"), "ts", F.col("event_type").alias("kind"))))
+
+
+@query(
+    cte("piece")
+    + """, v AS (SELECT piece_id, w, h, w - CASE WHEN piece_id % 3 = 0 THEN 1000 ELSE 0 END AS ax, (piece_id % 5) * 1000 AS bx FROM piece), o AS (SELECT *, i * ax + j * bx AS dx, j * h AS dy FROM v, (VALUES (-1), (0), (1)) AS a(i), (VALUES (-1), (0), (1)) AS b(j))
+SELECT piece_id, NOT bool_or((dx <> 0 OR dy <> 0) AND abs(dx) < w AND abs(dy) < h) AS legal FROM o GROUP BY piece_id"""
+)
+def lattice_legality(t: Instances) -> DataFrame:
+    ax, bx = F.col("w") - F.when(F.col("piece_id") % 3 == 0, 1000).otherwise(0), F.col("piece_id") % 5 * 1000
+    return t.piece.select("piece_id", lattice.box_lattice_is_legal(F.col("w"), F.col("h"), ax, F.lit(0), bx, F.col("h")).alias("legal"))
+
+
+@query(
+    cte("piece")
+    + """, n AS (SELECT piece_id, w, h, 2 + piece_id % 7 AS n FROM piece), r AS (SELECT *, unnest(generate_series(1, n)) AS rows FROM n), s AS (SELECT piece_id, rows, CAST(ceil(n * 1.0 / rows) AS BIGINT) AS cols, CAST(ceil(n * 1.0 / rows) AS BIGINT) * w AS width, rows * h AS height FROM r)
+SELECT piece_id, rows, cols, width, height FROM s QUALIFY row_number() OVER (PARTITION BY piece_id ORDER BY greatest(width, height), width * height, width + height, rows) = 1"""
+)
+def crop_enumeration(t: Instances) -> DataFrame:
+    return lattice.best_crop(t.piece.withColumn("n", 2 + F.col("piece_id") % 7)).select("piece_id", "rows", "cols", "width", "height")
+
+
+@query(cte("piece") + "SELECT kind, w, h, count(*) AS pieces, min(piece_id) AS representative FROM piece GROUP BY ALL")
+def shape_cache_keys(t: Instances) -> DataFrame:
+    return families.distinct_shapes(t.piece, ["kind", "w", "h"])
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS piece_id, CAST(row_number() OVER (ORDER BY p_name, p_partkey) AS BIGINT) AS place FROM part")
+def code_unit_order(t: Instances) -> DataFrame:
+    return ordering.global_rank(t.table("part").select(F.col("p_partkey").cast("long").alias("piece_id"), grid.utf16_key(F.col("p_name")).alias("key")), ["key", "piece_id"], "place").select("piece_id", "place")

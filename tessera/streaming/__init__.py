@@ -1 +1 @@
-
+"""Ordered event streams of jobs as Structured Streaming queries."""
