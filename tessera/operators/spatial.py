@@ -129,3 +129,11 @@ def grid_alternatives(x: Column, y: Column, step: int) -> Column:
 def box_no_fit(fixed_w: Column, fixed_h: Column, moving_w: Column, moving_h: Column) -> Column:
     """No-fit rectangle of two boxes at the origin: reference points in its inside overlap."""
     return F.struct((-moving_w).alias("x0"), (-moving_h).alias("y0"), fixed_w.alias("x1"), fixed_h.alias("y1"))
+
+
+def smallest_gap(candidates: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The smallest gap (gap_id, gx, gy, gw, gh) that holds each candidate (candidate_id, x, y, w, h); candidates in none are left out."""
+    c = F.col
+    inside = (c("x") >= c("gx")) & (c("y") >= c("gy")) & (c("x") + c("w") <= c("gx") + c("gw")) & (c("y") + c("h") <= c("gy") + c("gh"))
+    hits = candidates.join(gaps, "job_id").where(inside)
+    return hits.groupBy("job_id", "candidate_id").agg(F.min_by("gap_id", F.struct(c("gw") * c("gh"), c("gap_id"))).alias("gap_id"))

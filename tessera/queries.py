@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import curves, grid
-from tessera.operators import families, geometry, kernels, lattice, ordering, pareto, preflight, relations, report, short_side, spatial
+from tessera.operators import beam, edges, families, geometry, kernels, lattice, ordering, pareto, preflight, relations, report, short_side, spatial
 from tessera.plans.checkpoints import checkpointed
 from tessera.plans.instances import Instances, cte, with_ring
 from tessera.search import jobs
@@ -783,3 +783,113 @@ def shape_cache_keys(t: Instances) -> DataFrame:
 @query("SELECT CAST(p_partkey AS BIGINT) AS piece_id, CAST(row_number() OVER (ORDER BY p_name, p_partkey) AS BIGINT) AS place FROM part")
 def code_unit_order(t: Instances) -> DataFrame:
     return ordering.global_rank(t.table("part").select(F.col("p_partkey").cast("long").alias("piece_id"), grid.utf16_key(F.col("p_name")).alias("key")), ["key", "piece_id"], "place").select("piece_id", "place")
+
+
+# --- edges, gates, further orders, beam ---------------------------------------------------------------------------
+
+
+def _placed_rings(t: Instances) -> DataFrame:
+    p = with_ring(t.layout)
+    return p.select("job_id", "ord", grid.translate(F.col("ring"), F.col("x"), F.col("y")).alias("ring"))
+
+
+_EDGES = f""", rg AS (SELECT job_id, ord, x, y, {_RING} AS ring FROM layout), ek AS (SELECT job_id, ord, x, y, ring, unnest(generate_series(1, len(ring))) AS k FROM rg), eg AS (SELECT job_id, ord, k - 1 AS edge, x + ring[k][1] AS x1, y + ring[k][2] AS y1, x + ring[k % len(ring) + 1][1] AS x2, y + ring[k % len(ring) + 1][2] AS y2 FROM ek),
+ep AS (SELECT a.job_id, a.ord AS a_ord, b.ord AS b_ord, a.edge AS a_edge, b.edge AS b_edge, a.x1 AS ax1, a.y1 AS ay1, a.x2 - a.x1 AS adx, a.y2 - a.y1 AS ady, b.x2 - b.x1 AS bdx, b.y2 - b.y1 AS bdy, b.x1 - a.x1 AS gx, b.y1 - a.y1 AS gy,
+  least(greatest(a.x1, a.x2), greatest(b.x1, b.x2)) - greatest(least(a.x1, a.x2), least(b.x1, b.x2)) AS ox, least(greatest(a.y1, a.y2), greatest(b.y1, b.y2)) - greatest(least(a.y1, a.y2), least(b.y1, b.y2)) AS oy FROM eg a JOIN eg b ON a.job_id = b.job_id AND a.ord < b.ord)"""
+
+
+@query(cte("layout") + _EDGES + "SELECT job_id, a_ord, b_ord, a_edge, b_edge, greatest(ox, oy) AS axis_units FROM ep WHERE ox >= 0 AND oy >= 0 AND (ox > 0 OR oy > 0) AND adx::HUGEINT * bdy = ady::HUGEINT * bdx AND adx::HUGEINT * gy = ady::HUGEINT * gx")
+def collinear_edge_contacts(t: Instances) -> DataFrame:
+    return edges.collinear_contacts(_placed_rings(t))
+
+
+@query(
+    cte("layout")
+    + _EDGES
+    + """, cr AS (SELECT *, adx::HUGEINT * bdy - ady::HUGEINT * bdx AS den, gx::HUGEINT * bdy - gy::HUGEINT * bdx AS t, gx::HUGEINT * ady - gy::HUGEINT * adx AS u FROM ep WHERE ox >= 0 AND oy >= 0)
+SELECT job_id, a_ord, b_ord, a_edge, b_edge, CAST(floor(ax1 + adx * (CAST(t AS DOUBLE) / CAST(den AS DOUBLE)) + 0.5) AS BIGINT) AS x, CAST(floor(ay1 + ady * (CAST(t AS DOUBLE) / CAST(den AS DOUBLE)) + 0.5) AS BIGINT) AS y FROM cr WHERE den <> 0 AND t * sign(den) > 0 AND t * sign(den) < abs(den) AND u * sign(den) > 0 AND u * sign(den) < abs(den)"""
+)
+def boundary_crossings(t: Instances) -> DataFrame:
+    return edges.crossings(_placed_rings(t))
+
+
+@query(cte("layout") + _EDGES + "SELECT a.job_id, a.ord AS fixed_ord, a.edge AS fixed_edge, b.ord AS moving_ord, b.edge AS moving_edge FROM eg a JOIN eg b ON a.job_id = b.job_id AND a.ord <> b.ord AND (a.x2 - a.x1)::HUGEINT * (b.y2 - b.y1) = (a.y2 - a.y1)::HUGEINT * (b.x2 - b.x1) AND (a.x2 - a.x1)::HUGEINT * (b.x2 - b.x1) + (a.y2 - a.y1)::HUGEINT * (b.y2 - b.y1) < 0")
+def antiparallel_edge_supports(t: Instances) -> DataFrame:
+    return edges.antiparallel(_placed_rings(t))
+
+
+@query(
+    cte("layout")
+    + f""", c AS ({CANDIDATE}), g AS (SELECT job_id, ord AS gap_id, x + w AS gx, y AS gy, w * 2 AS gw, h * 2 AS gh FROM layout WHERE qty % 5 = 0), b AS (SELECT job_id, ord AS candidate_id, x, y, w, h FROM layout)
+SELECT b.job_id, b.candidate_id, min_by(gap_id, (gw * gh, gap_id)) AS gap_id FROM b JOIN g ON b.job_id = g.job_id AND x >= gx AND y >= gy AND x + w <= gx + gw AND y + h <= gy + gh GROUP BY ALL"""
+)
+def gap_containment(t: Instances) -> DataFrame:
+    gaps = t.layout.where("qty % 5 = 0").select("job_id", F.col("ord").alias("gap_id"), (F.col("x") + F.col("w")).alias("gx"), F.col("y").alias("gy"), (F.col("w") * 2).alias("gw"), (F.col("h") * 2).alias("gh"))
+    return spatial.smallest_gap(t.layout.select("job_id", F.col("ord").alias("candidate_id"), "x", "y", "w", "h"), gaps)
+
+
+@query(cte("layout") + "SELECT job_id, ord, x + w // 2 AS px, bool_or(inside) AS blocked FROM (SELECT a.job_id, a.ord, a.x, a.w, b.x - a.w < a.x AND a.x < b.x + b.w AND b.y - a.h < a.y AND a.y < b.y + b.h AS inside FROM layout a JOIN layout b ON a.job_id = b.job_id AND a.ord <> b.ord) GROUP BY ALL")
+def strictly_inside_no_fit(t: Instances) -> DataFrame:
+    a = t.layout.select("job_id", "ord", "x", "y", "w", "h")
+    b = t.layout.select("job_id", F.col("ord").alias("o"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("w").alias("fw"), F.col("h").alias("fh"))
+    c = F.col
+    x0, y0, x1, y1 = c("fx") - c("w"), c("fy") - c("h"), c("fx") + c("fw"), c("fy") + c("fh")
+    ring = F.array(grid.point(x0, y0), grid.point(x1, y0), grid.point(x1, y1), grid.point(x0, y1))
+    j = a.join(b, "job_id").where("ord <> o").withColumn("inside", grid.contains_strictly(ring, c("x"), c("y")))
+    return j.groupBy("job_id", "ord", (c("x") + F.call_function("div", c("w"), F.lit(2))).alias("px")).agg(F.bool_or("inside").alias("blocked"))
+
+
+@query(cte("endpoint") + "SELECT job_id, bool_and(placed > 0 AND cavities < 3) AS covered, count(*) = count(DISTINCT hash) AS distinct_runs FROM endpoint GROUP BY job_id")
+def production_coverage(t: Instances) -> DataFrame:
+    return t.endpoint.groupBy("job_id").agg(F.bool_and((F.col("placed") > 0) & (F.col("cavities") < 3)).alias("covered"), (F.count(F.lit(1)) == F.countDistinct("hash")).alias("distinct_runs"))
+
+
+@query(cte("inst") + ", s AS (SELECT job_id, list(piece_id ORDER BY ord) AS prepared, list(piece_id ORDER BY ord) FILTER (WHERE qty % 3 > 0) AS placed FROM inst GROUP BY job_id) SELECT job_id, placed IS NULL OR list_slice(prepared, 1, len(placed)) = placed AS is_prefix FROM s")
+def exact_prefix_check(t: Instances) -> DataFrame:
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda p: p["piece_id"])
+    s = t.inst.groupBy("job_id").agg(ordered(F.struct("ord", "piece_id")).alias("prepared"), ordered(F.when(F.col("qty") % 3 > 0, F.struct("ord", "piece_id"))).alias("placed"))
+    return s.select("job_id", (F.slice("prepared", 1, F.size("placed")) == F.col("placed")).alias("is_prefix"))
+
+
+@query(cte("layout") + f", c AS ({CANDIDATE}) SELECT job_id, candidate_id FROM c QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY area, max_side, span, contact DESC, candidate_id) = 1")
+def area_first_selection(t: Instances) -> DataFrame:
+    return ordering.top_k(_candidates(t), ["job_id"], [F.asc("area"), F.asc("max_side"), F.asc("span"), F.desc("contact"), F.asc("candidate_id")], 1).select("job_id", "candidate_id")
+
+
+@query(cte("endpoint") + "SELECT job_id, endpoint_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY area, max_side, span, placed DESC, endpoint_id) AS BIGINT) AS turn FROM endpoint QUALIFY turn <= 8")
+def continuation_order(t: Instances) -> DataFrame:
+    return ordering.top_k(t.endpoint, ["job_id"], [F.asc("area"), F.asc("max_side"), F.asc("span"), F.desc("placed"), F.asc("endpoint_id")], 8, "turn").select("job_id", "endpoint_id", "turn")
+
+
+@query(
+    cte("endpoint")
+    + """, o AS (SELECT job_id, endpoint_id, cavities, isolated, contact, hash, 0 AS turn, max_side AS across, span - max_side AS depth FROM endpoint UNION ALL SELECT job_id, endpoint_id, cavities, isolated, contact, hash, 90, span - max_side, max_side FROM endpoint)
+SELECT job_id, endpoint_id, CAST(turn AS BIGINT) AS turn FROM o WHERE across <= 1200 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN 100 * across >= 99 * 1200 THEN 2 WHEN 5 * across >= 4 * 1200 THEN 1 ELSE 0 END DESC, depth, cavities, isolated, contact DESC, hash, turn) = 1"""
+)
+def orientation_ranking(t: Instances) -> DataFrame:
+    e = t.endpoint.withColumn("o", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("max_side").alias("across"), (F.col("span") - F.col("max_side")).alias("depth")), F.struct(F.lit(90).alias("turn"), (F.col("span") - F.col("max_side")).alias("across"), F.col("max_side").alias("depth")))))
+    e = e.select("*", "o.*").where("across <= 1200").withColumn("tier", short_side.fill_tier(F.col("across"), F.lit(1200).cast("long")))
+    return ordering.top_k(e, ["job_id"], [F.desc("tier"), F.asc("depth"), F.asc("cavities"), F.asc("isolated"), F.desc("contact"), F.asc("hash"), F.asc("turn")], 1).select("job_id", "endpoint_id", F.col("turn").cast("long").alias("turn"))
+
+
+@query(cte("endpoint") + "SELECT job_id, endpoint_id, placed = 6 AS complete FROM endpoint QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN placed = 6 THEN 0 ELSE 1 END, placed DESC, area, endpoint_id) = 1")
+def settled_endpoint(t: Instances) -> DataFrame:
+    e = t.endpoint.withColumn("complete", F.col("placed") == 6)
+    return ordering.top_k(e, ["job_id"], [F.desc("complete"), F.desc("placed"), F.asc("area"), F.asc("endpoint_id")], 1).select("job_id", "endpoint_id", "complete")
+
+
+@query(cte("layout") + "SELECT job_id, ord, CAST(CASE WHEN (x + w) % 7 = 0 THEN 0 ELSE (x + w) % 360 END AS BIGINT) AS degrees FROM layout WHERE x >= 0")
+def angle_normalization(t: Instances) -> DataFrame:
+    d = F.when((F.col("x") + F.col("w")) % 7 == 0, 360.0).otherwise((F.col("x") + F.col("w") - 360 * 5).cast("double"))
+    return t.layout.where("x >= 0").select("job_id", "ord", grid.degrees(d).cast("long").alias("degrees"))
+
+
+@query("SELECT 'tessera' AS engine, CAST(1 AS BIGINT) AS protocol_version, true AS available")
+def capability(t: Instances) -> DataFrame:
+    return t.spark.range(1).select(F.lit("tessera").alias("engine"), F.lit(1).cast("long").alias("protocol_version"), F.lit(True).alias("available"))
+
+
+@query()
+def frontier_beam(t: Instances) -> DataFrame:
+    final = beam.run(t.job, t.inst.select("job_id", "ord", "w", "h"), checkpointed, depths=3, width=4)
+    return beam.best(final).select("job_id", "depth", "placed", F.col("material").cast("string").alias("material"), "width", "height")
