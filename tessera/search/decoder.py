@@ -123,8 +123,8 @@ class Search:
     def _base_rings(layout: Layout, shapes: dict[str, Shape]):
         return [shapes[i].turns[t[1]][2] for i, t in zip(layout.ids, layout.tokens, strict=True)]
 
-    def scored(self, layout: Layout, shapes: dict[str, Shape], shape: Shape, sheet: tuple[int, int] | None = None) -> list[tuple]:
-        """(max side, area, span, turn, y, x) of every candidate of every transform."""
+    def scored(self, layout: Layout, shapes: dict[str, Shape], shape: Shape, sheet: tuple[int, int] | None = None, strip: bool = False) -> list[tuple]:
+        """(max side, area, span, turn, y, x) of every candidate of every transform; for a strip (height, width, area, ...)."""
         out = []
         box = layout.bounds() if layout.rings else None
         for turn, (_, _, ring) in enumerate(shape.turns):
@@ -136,7 +136,8 @@ class Search:
             if box:
                 lo_x, lo_y, hi_x, hi_y = np.minimum(lo_x, box[0]), np.minimum(lo_y, box[1]), np.maximum(hi_x, box[2]), np.maximum(hi_y, box[3])
             w, h = hi_x - lo_x, hi_y - lo_y
-            out += list(zip(np.maximum(w, h).tolist(), (w * h).tolist(), (w + h).tolist(), [turn] * len(spots), spots[:, 1].tolist(), spots[:, 0].tolist(), strict=True))
+            keys = (h, w, w * h) if strip else (np.maximum(w, h), w * h, w + h)
+            out += list(zip(*(k.tolist() for k in keys), [turn] * len(spots), spots[:, 1].tolist(), spots[:, 0].tolist(), strict=True))
         return out
 
     def contact(self, layout: Layout, shape: Shape, c: tuple) -> float:
@@ -145,8 +146,8 @@ class Search:
         return sum(convex.contact_length(ring, r) for r in layout.rings if (o := convex.bounds(r)) and o[0] <= b[2] and b[0] <= o[2] and o[1] <= b[3] and b[1] <= o[3])
 
     def best(self, layout: Layout, shapes: dict[str, Shape], shape: Shape, role: str, sheet: tuple[int, int] | None = None) -> tuple | None:
-        """pure-growth: max side, area, span, contact. area-first: area, max side, span, contact. contact-band: most contact among those with the leader's max side and an area within 2% of the piece's own."""
-        found = self.scored(layout, shapes, shape, sheet)
+        """pure-growth: max side, area, span, contact. area-first: area, max side, span, contact. contact-band: most contact among those with the leader's max side and an area within 2% of the piece's own. strip: least height, then width."""
+        found = self.scored(layout, shapes, shape, sheet, role == "strip")
         if not found:
             return None
         envelope = (lambda c: (c[1], c[0], c[2])) if role == "area-first" else (lambda c: c[:3])

@@ -139,6 +139,64 @@ def solve(shapes: list[Shape], sheet: tuple[int, int], beam: int, seeds: int = 8
     return layout, "capacity", counters["evaluated"]
 
 
+def directional_key(layout: Layout, short: int) -> tuple:
+    """Fill tier of the short side (x), then, below the last tier, what is filled, then area, depth, cavities, isolated pieces, identity."""
+    x0, y0, x1, y1 = layout.bounds()
+    across, depth = x1 - x0, y1 - y0
+    tier = 2 if 100 * across >= 99 * short else 1 if 5 * across >= 4 * short else 0
+    m = metrics(layout)
+    return -tier, -across if tier < 2 else 0, across * depth, depth, m["cavities"], m["isolated"], layout.identity()
+
+
+def shelf(shapes: list[Shape], short: int) -> Layout:
+    """Rows from the left, each piece in its lowest, then widest turn."""
+    layout, x, y, tall = Layout(), 0, 0, 0
+    for s in shapes:
+        boxes = [convex.bounds(list(r)) for _, _, r in s.turns]
+        fit = [(b[3] - b[1], b[0] - b[2], k) for k, b in enumerate(boxes) if b[2] - b[0] <= short]
+        if not fit:
+            return Layout()
+        h, w, k = min(fit)
+        if x and x - w > short:
+            x, y, tall = 0, y + tall, 0
+        layout = layout.placed(s, k, x - boxes[k][0], y - boxes[k][1])
+        x, tall = x - w, max(tall, h)
+    return layout
+
+
+def short_side(shapes: list[Shape], sheet: tuple[int, int], compact: Layout) -> tuple[Layout, str]:
+    """The layout that fills the sheet's short side best, of a strip decoding, shelves, crops across the side and the compact layout in its turns."""
+    short, long = min(sheet), max(sheet)
+    by_id, search = {s.id: s for s in shapes}, Search()
+    found = [("strip", search.decode(shapes, by_id, "strip", sheet=(short, long)).anchored()), ("shelf", shelf(shapes, short))]
+    found += [("compact", compact.quarter(q)) for q in (0, 90)]
+    if len(families(shapes)) == 1 and len(shapes) > 1:
+        turns = [list(r) for _, _, r in shapes[0].turns]
+        half = {k: j for k, (d, m, _) in enumerate(shapes[0].turns) for j, (e, n, _) in enumerate(shapes[0].turns) if m == n and (d + 180.0) % 360.0 == e}
+        for cell in periodic.cells(turns, half)[:6]:
+            for crop in periodic.crops(cell, len(shapes), turns, 64):
+                layout = Layout()
+                for shape, (t, x, y) in zip(shapes, crop, strict=True):
+                    layout = layout.placed(shape, t, x, y)
+                found += [("periodic", layout.quarter(q)) for q in (0, 90)]
+    ok = [(n, e) for n, e in found if len(e.ids) == len(compact.ids) and (b := e.bounds()) and b[2] - b[0] <= short and b[3] - b[1] <= long]
+    # the dear measures only for those that lead by the cheap ones
+    cheap = [(directional_key_cheap(e, short), n, e) for n, e in ok]
+    lead = sorted(cheap, key=lambda c: (c[0], c[1]))[:4]
+    ranked = sorted(((directional_key(e, short), n, e) for _, n, e in lead if legal(e, None)), key=lambda r: r[0])
+    if not ranked:
+        return compact, "capacity"
+    _, name, best = ranked[0]
+    return best.quarter(0 if sheet[0] <= sheet[1] else 90), name
+
+
+def directional_key_cheap(layout: Layout, short: int) -> tuple:
+    x0, y0, x1, y1 = layout.bounds()
+    across, depth = x1 - x0, y1 - y0
+    tier = 2 if 100 * across >= 99 * short else 1 if 5 * across >= 4 * short else 0
+    return -tier, -across if tier < 2 else 0, across * depth, depth
+
+
 def solve_job(pdf: pd.DataFrame, beam: int, cap: int, decode_only: bool) -> dict:
     head = pdf.iloc[0]
     sheet = int(head["sheet_w"]), int(head["sheet_h"])
@@ -151,6 +209,8 @@ def solve_job(pdf: pd.DataFrame, beam: int, cap: int, decode_only: bool) -> dict
             layout, origin, tried = search.decode(shapes, {s.id: s for s in shapes}, sheet=sheet), "decoder", 0
         else:
             layout, origin, tried = solve(shapes, sheet, beam)
+            if head.get("profile") == "compact-short-side" and layout.ids:
+                layout, origin = short_side([s for s in shapes if s.id in set(layout.ids)], sheet, layout)
     except ValueError as error:
         return out | {"status": "failure", "error": str(error), "unplaced": len(pdf), "unplaced_ids": sorted(pdf["id"])}
     m = metrics(layout)
@@ -181,11 +241,11 @@ def _task(beam: int, cap: int, decode_only: bool) -> Callable[[pd.DataFrame], pd
 def layout_jobs(pieces: DataFrame, beam: int = capacity.BEAM, cap: int = 8, decode_only: bool = False) -> DataFrame:
     """One outcome for each job.
 
-    pieces: job_id, id, ring (array of x, y in micrometres), allow_rotation, allow_mirror, padding, sheet_w, sheet_h. A
-    job with a piece that has no area fails with an error; no job stops the others. The result depends neither on the
+    pieces: job_id, id, ring (array of x, y in micrometres), allow_rotation, allow_mirror, padding, sheet_w, sheet_h and, if wanted,
+    profile (compact or compact-short-side). A job with a piece that has no area fails with an error; no job stops the others. The result depends neither on the
     order of rows nor on partitions.
     """
-    cols = ["job_id", "id", "ring", "allow_rotation", "allow_mirror", "padding", "sheet_w", "sheet_h"]
+    cols = ["job_id", "id", "ring", "allow_rotation", "allow_mirror", "padding", "sheet_w", "sheet_h", *(["profile"] if "profile" in pieces.columns else [])]
     return pieces.select(*cols).groupBy("job_id").applyInPandas(_task(beam, cap, decode_only), OUTCOME)
 
 

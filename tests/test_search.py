@@ -29,6 +29,16 @@ def test_roomy_sheet_takes_all_triangles_tightly():
     assert out["placed"] == 20 and out["area"] <= 74_428_143_126
 
 
+def test_short_side_profile_fills_the_short_side():
+    data = [r | {"profile": "compact-short-side"} for r in rows([TRIANGLE] * 20, (2_000_000, 2_700_000))]
+    out = jobs.solve_job(pd.DataFrame(data), 4, 8, False)
+    check(out, 20, None)
+    assert out["placed"] == 20 and out["span"] - (out["area"] // out["max_side"]) == out["max_side"] > 1_700_000
+    data = [r | {"profile": "compact-short-side"} for r in rows([TRIANGLE] * 20, (600_000, 400_000))]
+    out = jobs.solve_job(pd.DataFrame(data), 4, 8, False)
+    assert out["placed"] == 20 and out["legal"] and out["area"] <= 90_196_748_722
+
+
 def test_small_sheet_takes_at_least_seventeen():
     sheet = (300_000, 300_000)
     out = jobs.solve_job(pd.DataFrame(rows([TRIANGLE] * 20, sheet)), 8, 8, False)
