@@ -10,7 +10,8 @@
    and positional filters go on the row, the suffix filter on the pair's sketches, and what is left is verified once
    on the whole texts. Links give components.
 5. Round two: the nodes that are not yet in their hub's component are candidates with all nodes of the list that are in
-   another component than theirs, by the same filters. After it every pair of nodes in different components that shares
+   another component than theirs, by the same filters. A pair is passed over where one of the last few listed n-grams
+   before this one is the same in both, as it is met there already; its first common n-gram is never passed over. After it every pair of nodes in different components that shares
    a prefix n-gram has been excluded by a bound or verified, so no link between components is missing, while a cluster of
    near copies costs a star rather than all its pairs.
 
@@ -27,7 +28,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import Scratch, checkpointed, read, small_side, text_of
@@ -35,6 +36,8 @@ from tessera.llm._common import Scratch, checkpointed, read, small_side, text_of
 CELL_BITS = 18
 CHUNK = 4096
 SKETCH = 16
+#: Listed n-grams before a row's own that round two compares.
+BEFORE = 3
 CACHED_WORDS = 300_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -239,7 +242,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         groups = scratch.table(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")))
         copies = sets.where("n > 0").join(groups, key).select("doc_id", "n", "node", "sketch")
         copies = scratch.table(copies)
-        nodes = copies.where("doc_id = node").select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
+        own = copies.where("doc_id = node").select(F.col("doc_id").alias("id"), "n", "sketch")
+        nodes = scratch.table(own.dropDuplicates(["id"]))
+        distinct_ids = own.count() == nodes.count()
         extra = copies.where("doc_id IS NULL OR doc_id <> node").select(F.col("doc_id").alias("id"))
         keyed = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
         single = keyed.join(small_side(extra, extra.count()), "id", "left_anti")
@@ -258,9 +263,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
             found = small_side(label.select(F.col("id").alias("_id"), F.col("component").alias("_label")), n_labels)
             return df.join(found, F.col(of) == F.col("_id"), "left").withColumn(name, F.coalesce("_label", of)).drop("_id", "_label")
 
-        placed = labelled(labelled(listed, "id", "label"), "hub", "hub_label").select("gram", "id", "n", "pos", "label", "hub_label")
-        apart = placed.where("label <> hub_label").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "label")])
-        rest = apart.join(placed, "gram").where("x_label <> label").where(_may_link(percent, F.col("n"), F.col("pos"), F.col("x_n"), F.col("x_pos")))
+        before = [F.lag("gram", k).over(Window.partitionBy("id").orderBy("pos")) if distinct_ids else F.lit(None).cast("long") for k in range(1, BEFORE + 1)]
+        names = [f"before_{k}" for k in range(BEFORE)]
+        placed = labelled(labelled(listed.withColumns(dict(zip(names, before, strict=True))), "id", "label"), "hub", "hub_label")
+        placed = scratch.table(placed.select("gram", "id", "n", "pos", "label", "hub_label", *names))
+        apart = placed.where("label <> hub_label").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "label", *names)])
+        seen = F.lit(False)
+        for a in names:
+            for b in names:
+                seen = seen | F.coalesce(F.col(a) == F.col(f"x_{b}"), F.lit(False))
+        rest = apart.join(placed, "gram").where((F.col("x_label") != F.col("label")) & _may_link(percent, F.col("n"), F.col("pos"), F.col("x_n"), F.col("x_pos")) & ~seen)
         second = scratch.table(rest.select(*pair("id", "x_id")).distinct().join(first, ["a", "b"], "left_anti"))
         more = _links(second, nodes, keyed, words, percent, scratch)
         joined = components(labelled(labelled(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
