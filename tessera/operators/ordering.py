@@ -118,3 +118,22 @@ def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
     return parts.withColumn("_k", local).join(F.broadcast(before), "_part").withColumn(name, (F.col("_k") + F.col("_before")).cast("long")).drop("_part", "_k", "_n", "_before")
+
+
+def cohesion_frontier(states: DataFrame, width: int = 16) -> DataFrame:
+    """A quarter of the beam each by objective, isolated pieces, largest component and components, then the rest by objective.
+
+    A state that an earlier quarter took does not count for a later one, so each quarter ranks what is left; the quarters
+    are four windows in a row. states: job_id, state_id, placed, material, isolated, largest, components, waste.
+    """
+    quarter = max(1, width // 4)
+    objective = [F.desc("placed"), F.desc("material"), F.asc("state_id")]
+    orders = [objective, [F.asc("isolated"), *objective], [F.desc("largest"), *objective], [F.asc("components"), F.asc("waste"), *objective]]
+    out = states.withColumn("_slot", F.lit(None).cast("int"))
+    for k, order in enumerate(orders):
+        left = F.row_number().over(Window.partitionBy("job_id", F.col("_slot").isNull()).orderBy(*order))
+        out = out.withColumn("_slot", F.when(F.col("_slot").isNull() & (left <= quarter), F.lit(k)).otherwise(F.col("_slot")))
+    taken = F.count("_slot").over(Window.partitionBy("job_id"))
+    rest = F.row_number().over(Window.partitionBy("job_id", F.col("_slot").isNull()).orderBy(*objective))
+    out = out.withColumn("_taken", taken).withColumn("_rest", rest)
+    return out.where(F.col("_slot").isNotNull() | (F.col("_rest") <= width - F.col("_taken"))).withColumn("slot", F.coalesce("_slot", F.lit(len(orders))).cast("long")).drop("_slot", "_taken", "_rest")

@@ -12,7 +12,7 @@ from tessera.operators import beam, edges, families, geometry, kernels, lattice,
 from tessera.plans.checkpoints import checkpointed
 from tessera.plans.instances import Instances, cte, with_ring
 from tessera.search import jobs
-from tessera.sources import dxf, polygons
+from tessera.sources import dxf, polygons, requests
 from tessera.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -893,3 +893,26 @@ def capability(t: Instances) -> DataFrame:
 def frontier_beam(t: Instances) -> DataFrame:
     final = beam.run(t.job, t.inst.select("job_id", "ord", "w", "h"), checkpointed, depths=3, width=4)
     return beam.best(final).select("job_id", "depth", "placed", F.col("material").cast("string").alias("material"), "width", "height")
+
+
+_OBJECTIVE = "placed DESC, material DESC, endpoint_id"
+
+
+@query(
+    cte("endpoint")
+    + f""", a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY {_OBJECTIVE}) <= 1 THEN 0 END AS s FROM endpoint), b AS (SELECT * REPLACE (CASE WHEN s IS NULL AND row_number() OVER (PARTITION BY job_id, s IS NULL ORDER BY isolated, {_OBJECTIVE}) <= 1 THEN 1 ELSE s END AS s) FROM a),
+c AS (SELECT * REPLACE (CASE WHEN s IS NULL AND row_number() OVER (PARTITION BY job_id, s IS NULL ORDER BY largest DESC, {_OBJECTIVE}) <= 1 THEN 2 ELSE s END AS s) FROM b), d AS (SELECT * REPLACE (CASE WHEN s IS NULL AND row_number() OVER (PARTITION BY job_id, s IS NULL ORDER BY component_count, waste, {_OBJECTIVE}) <= 1 THEN 3 ELSE s END AS s) FROM c),
+e AS (SELECT *, count(s) OVER (PARTITION BY job_id) AS taken, row_number() OVER (PARTITION BY job_id, s IS NULL ORDER BY {_OBJECTIVE}) AS r FROM d)
+SELECT job_id, endpoint_id, CAST(coalesce(s, 4) AS BIGINT) AS slot FROM e WHERE s IS NOT NULL OR r <= 6 - taken"""
+)
+def cohesion_frontier(t: Instances) -> DataFrame:
+    e = t.endpoint.withColumnRenamed("endpoint_id", "state_id").withColumnRenamed("component_count", "components")
+    return ordering.cohesion_frontier(e, 6).select("job_id", F.col("state_id").alias("endpoint_id"), "slot")
+
+
+@query(cte("piece") + "SELECT piece_id // 10 AS job_id, CAST(sum(piece_id % 3 + 1) AS BIGINT) AS pieces, count(*) AS sources, CAST(sum(CASE WHEN kind = 1 THEN 3 ELSE 4 END) AS BIGINT) AS segments FROM piece GROUP BY 1")
+def request_encoding(t: Instances) -> DataFrame:
+    text = requests.polygon_requests(polygons.import_documents(_documents(t)), 2000.0, 2700.0, 10)
+    back = text.select("job_id", F.from_json("request", requests.REQUEST).alias("r"))
+    n = F.aggregate(F.transform("r.sourcePieces", lambda s: F.size(s["geometry"]["segments"])), F.lit(0), lambda s, x: s + x)
+    return back.select("job_id", F.size("r.pieces").cast("long").alias("pieces"), F.size("r.sourcePieces").cast("long").alias("sources"), n.cast("long").alias("segments"))

@@ -65,3 +65,46 @@ def write_events(events: DataFrame, path: str) -> None:
 def exact_decimal(c):
     """Whether a text is a canonical whole number."""
     return c.rlike("^(0|-?[1-9][0-9]*)$")
+
+
+#: Settings of requests that are built from drawings or polygons.
+DEFAULT_GEOMETRY = {"flatteningSagToleranceMm": 0.25, "clearanceSafetyMarginMm": 0.25, "geometryBackendId": "irregular-convex-v2-default", "geometryBackendVersion": "0"}
+DEFAULT_OPTIMIZER = {
+    "orderWindow": 4, "beamWidth": 8, "localCandidateFanout": 4, "localRepairBudget": 0, "intrinsicSharedArchiveEnabled": True, "transformCap": 8,
+    "transformMinimumEdgeLengthMm": 1, "transformAngleDeduplicationToleranceDeg": 0.01, "configuredRotationEnabled": True, "edgeAlignmentEnabled": True,
+    "gaEnabled": False, "baselineOnly": True, "gaPopulation": 12, "gaGenerationBudget": 2, "gaEvaluationBudget": 24, "gaTimeBudgetMs": 0, "gaSeed": "default",
+    "priorityOrderMutationEnabled": True, "transformPreferenceMutationEnabled": True, "placementPolicyMutationEnabled": True,
+    "placementPolicyId": "balanced-compactness",
+}
+DEFAULT_POLICIES = ["balanced-compactness", "short-side-fill", "edge-contact-then-balanced-compactness"]
+
+
+def build_requests(pieces: DataFrame, sources: DataFrame, width: float, height: float, padding: int, timeout_ms: float, profile: str = "compact", allow_mirror: bool = True) -> DataFrame:
+    """One request for each job as a JSON text.
+
+    pieces: job_id, id, sourcePieceId, interchangeabilityKey, realBounds, paddedBounds, padding, allowRotation,
+    allowMirror. sources: job_id, id, realBounds, geometry. Pieces and sources are listed by id.
+    """
+    fields = ["id", "sourcePieceId", "interchangeabilityKey", "realBounds", "paddedBounds", "padding", "allowRotation", "allowMirror"]
+    p = pieces.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("pieces"))
+    s = sources.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("id", F.col("id").alias("sourceFileId"), F.col("id").alias("label"), "realBounds", "geometry")), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("sourcePieces"))
+    named = lambda of: [F.lit(v).alias(k) for k, v in of.items()]
+    optimizer = F.struct(*named(DEFAULT_OPTIMIZER), F.array(*map(F.lit, DEFAULT_POLICIES)).alias("placementPolicyIds"), F.array().cast("array<double>").alias("configuredRotationDeg"))
+    settings = F.struct(F.lit(padding).alias("padding"), F.lit(True).alias("allowGlobalRotation"), F.lit(allow_mirror).alias("allowGlobalMirror"), F.struct(*named(DEFAULT_GEOMETRY)).alias("geometry"), optimizer.alias("optimizer"))
+    sheet = F.struct(F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(f"{width:g}x{height:g}").alias("label"))
+    body = F.struct(F.lit(1).alias("version"), F.lit(timeout_ms).alias("timeoutMs"), F.lit(profile).alias("profile"), sheet.alias("sheet"), "pieces", "sourcePieces", settings.alias("settings"), F.lit("off").alias("historyMode"), F.lit("off").alias("diagnosticTraceMode"))
+    return p.join(s, "job_id").select("job_id", F.to_json(body).alias("request"))
+
+
+def polygon_requests(definitions: DataFrame, width: float, height: float, padding: int, timeout_ms: float = 300_000.0) -> DataFrame:
+    """Requests of imported polygon definitions: instances by quantity, outlines as line segments."""
+    from tessera.sources.polygons import instances
+
+    box = lambda w, h: F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), w.alias("width"), h.alias("height"))
+    i = instances(definitions, padding).withColumnRenamed("piece_id", "id")
+    side = float(-(-padding // 2))
+    padded = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("padded_width").alias("width"), F.col("padded_height").alias("height"), F.col("longest_edge").alias("longestEdge"), F.col("padded_area").alias("area"), "imbalance")
+    pieces = i.select("job_id", "id", F.col("source_id").alias("sourcePieceId"), F.col("geometry_key").alias("interchangeabilityKey"), box(F.col("padded_width") - 2 * side, F.col("padded_height") - 2 * side).alias("realBounds"), padded.alias("paddedBounds"), F.lit(side).alias("padding"), F.col("allow_rotation").alias("allowRotation"), F.col("allow_mirror").alias("allowMirror"))
+    ends = F.transform("ring", lambda p, k: F.struct(F.lit("line").alias("kind"), p["x"].alias("x1"), p["y"].alias("y1"), F.element_at("ring", (k + 1) % F.size("ring") + 1)["x"].alias("x2"), F.element_at("ring", (k + 1) % F.size("ring") + 1)["y"].alias("y2")))
+    sources = definitions.where("error IS NULL").select("job_id", "id", box(F.col("width"), F.col("height")).alias("realBounds"), F.struct(F.lit("PRESET_SHAPE").alias("entityType"), F.lit(True).alias("closed"), ends.alias("segments")).alias("geometry"))
+    return build_requests(pieces, sources, width, height, padding, timeout_ms)
