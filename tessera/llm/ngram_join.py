@@ -1,6 +1,6 @@
 """Word n-gram Jaccard self-join of documents: prefix filtering with rare n-grams first.
 
-1. One scan hashes each document's n-grams (64 bits), keeps its set's size, digest and a 16-cell count sketch, and
+1. One scan hashes each document's n-grams (64 bits), keeps its set's size, digest and a sketch of 256 parities, and
    counts n-grams in a table of 2**18 cells, whose size does not depend on the input. Cells rank n-grams by how common
    they are; any ranking gives the same links, a better one shorter candidate lists.
 2. Documents with equal sets are one node, so copies cost one node whatever their number.
@@ -10,7 +10,7 @@
    and positional filters go on the row, the suffix filter on the pair's sketches, and what is left is verified once
    on the whole texts. Links give components.
 5. Round two: the nodes that are not yet in their hub's component are candidates with all nodes of the list that are in
-   another component than theirs, by the same filters. A pair is passed over where one of the last few listed n-grams
+   another component than theirs, by the same filters, the suffix filter already in the join. A pair is passed over where one of the last few listed n-grams
    before this one is the same in both, as it is met there already; its first common n-gram is never passed over. After it every pair of nodes in different components that shares
    a prefix n-gram has been excluded by a bound or verified, so no link between components is missing, while a cluster of
    near copies costs a star rather than all its pairs.
@@ -35,7 +35,8 @@ from tessera.llm._common import Scratch, checkpointed, read, small_side, text_of
 
 CELL_BITS = 18
 CHUNK = 4096
-SKETCH = 16
+#: 64-bit words of a set's sketch.
+SKETCH = 4
 #: Listed n-grams before a row's own that round two compares.
 BEFORE = 3
 CACHED_WORDS = 300_000
@@ -91,18 +92,19 @@ def _scan(words: int):
                 n.append(len(h))
                 s1.append(int.from_bytes(digest[:8], "little", signed=True))
                 s2.append(int.from_bytes(digest[8:], "little", signed=True))
-                sketch.append(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32))
+                odd = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             none = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.list_(pa.int32())), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
         parts = [(k, cells[k * CHUNK : (k + 1) * CHUNK]) for k in range(len(cells) // CHUNK)]
         parts = [(k, zlib.compress(c.astype("<u4").tobytes(), 1)) for k, c in parts if c.any()]
         none = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int32())), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
 
     return run
 
 
-SCAN = "doc_id long, n int, s1 long, s2 long, sketch array<int>, chunk int, counts binary"
+SCAN = "doc_id long, n int, s1 long, s2 long, sketch array<bigint>, chunk int, counts binary"
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +156,21 @@ def _may_link(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> C
     return (F.least(n1, n2).cast("long") * 100 >= F.greatest(n1, n2).cast("long") * percent) & (shared * (100 + percent) >= (n1.cast("long") + n2) * percent)
 
 
+_WORDS = [f"k{k}" for k in range(SKETCH)]
+
+
+def _alike(percent: int, n: Column, m: Column, one: list[Column], two: list[Column]) -> Column:
+    """Suffix filter: each parity in which two sketches differ is of another n-gram that only one set has, which bounds the overlap."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one[1:], two[1:], strict=True)), F.bit_count(one[0].bitwiseXOR(two[0])))
+    total = n.cast("long") + m
+    return (total - apart) * (100 + percent) >= total * (2 * percent)
+
+
 def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches do not prove too small an overlap: the cells' differences add up to at most the sets' difference."""
-    one = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    two = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    total = F.col("na").cast("long") + F.col("nb")
-    return pairs.join(one, "a").join(two, "b").where((total - apart) * (100 + percent) >= total * (2 * percent)).select("a", "b")
+    """Pairs whose sketches do not prove too small an overlap."""
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(k).alias(f"{x}_{k}") for k in _WORDS])
+    cols = lambda x: [F.col(f"{x}_{k}") for k in _WORDS]
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(percent, F.col("a_n"), F.col("b_n"), cols("a"), cols("b"))).select("a", "b")
 
 
 def _verify(words: int, percent: int):
@@ -194,10 +204,12 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
     """The pairs that are links, each verified once on whole texts. Only the texts of nodes in a candidate pair move."""
     pairs = scratch.table(_suffix_filter(pairs, nodes, percent))
     wanted = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = docs.join(small_side(wanted, wanted.count()), "id", "left_semi")
-    texts = scratch.table(texts)
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return scratch.table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
+    texts = scratch.table(docs.join(small_side(wanted, wanted.count()), "id", "left_semi"))
+    second = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(small_side(pairs, pairs.count()), "b")
+    both = second.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    links = scratch.table(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
+    scratch.drop(pairs, wanted, texts)
+    return links
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -242,9 +254,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         groups = scratch.table(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")))
         copies = sets.where("n > 0").join(groups, key).select("doc_id", "n", "node", "sketch")
         copies = scratch.table(copies)
-        own = copies.where("doc_id = node").select(F.col("doc_id").alias("id"), "n", "sketch")
+        own = copies.where("doc_id = node").select(F.col("doc_id").alias("id"), "n", *[F.col("sketch")[k].alias(w) for k, w in enumerate(_WORDS)])
         nodes = scratch.table(own.dropDuplicates(["id"]))
-        distinct_ids = own.count() == nodes.count()
+        n_nodes = nodes.count()
+        distinct_ids = own.count() == n_nodes
+        if not distinct_ids:  # an id with several texts has no sketch of its own
+            nodes = scratch.table(nodes.withColumns({w: F.lit(0).cast("long") for w in _WORDS}))
         extra = copies.where("doc_id IS NULL OR doc_id <> node").select(F.col("doc_id").alias("id"))
         keyed = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
         single = keyed.join(small_side(extra, extra.count()), "id", "left_anti")
@@ -252,6 +267,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         lists = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "id")).alias("hub")).where("c > 1")
         lists = lists.select("gram", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
         listed = scratch.table(prefixes.join(lists, "gram"))
+        scratch.drop(prefixes)
 
         pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
         stars = listed.where("id <> hub").where(_may_link(percent, F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")))
@@ -266,14 +282,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         before = [F.lag("gram", k).over(Window.partitionBy("id").orderBy("pos")) if distinct_ids else F.lit(None).cast("long") for k in range(1, BEFORE + 1)]
         names = [f"before_{k}" for k in range(BEFORE)]
         placed = labelled(labelled(listed.withColumns(dict(zip(names, before, strict=True))), "id", "label"), "hub", "hub_label")
-        placed = scratch.table(placed.select("gram", "id", "n", "pos", "label", "hub_label", *names))
-        apart = placed.where("label <> hub_label").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "label", *names)])
+        placed = placed.join(small_side(nodes.select("id", *_WORDS), n_nodes), "id")
+        own_columns = ["id", "n", "pos", "label", *names, *_WORDS]
+        placed = scratch.table(placed.select("gram", (F.col("label") != F.col("hub_label")).alias("apart"), *own_columns))
+        scratch.drop(listed)
+        apart = placed.where("apart").select("gram", *[F.col(c).alias(f"x_{c}") for c in own_columns])
         seen = F.lit(False)
         for a in names:
             for b in names:
                 seen = seen | F.coalesce(F.col(a) == F.col(f"x_{b}"), F.lit(False))
-        rest = apart.join(placed, "gram").where((F.col("x_label") != F.col("label")) & _may_link(percent, F.col("n"), F.col("pos"), F.col("x_n"), F.col("x_pos")) & ~seen)
+        alike = _alike(percent, F.col("n"), F.col("x_n"), [F.col(w) for w in _WORDS], [F.col(f"x_{w}") for w in _WORDS])
+        rest = apart.join(placed.drop("apart"), "gram").where((F.col("x_label") != F.col("label")) & _may_link(percent, F.col("n"), F.col("pos"), F.col("x_n"), F.col("x_pos")) & ~seen & alike)
         second = scratch.table(rest.select(*pair("id", "x_id")).distinct().join(first, ["a", "b"], "left_anti"))
+        scratch.drop(placed)
         more = _links(second, nodes, keyed, words, percent, scratch)
         joined = components(labelled(labelled(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
         top = joined.select(F.col("id").alias("label"), F.col("component").alias("top"))
@@ -293,3 +314,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+), n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+r AS (SELECT doc_id, doc_id AS top FROM d UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(r.top) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""
