@@ -19,5 +19,7 @@ QUERIES = {
 
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op5_ngram_jaccard": ngram_join.SQL,
+    "op6_warc_round_trip": warc.SQL,
     "op9_url_filter": url_filter.SQL,
 }

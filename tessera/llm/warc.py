@@ -220,3 +220,11 @@ def archive_round_trip(pages: DataFrame, segment: int = SEGMENT, least_bytes: in
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages")).drop("problem")
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, {5 * g + 1}, 5))::BIGINT >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, strlen(p.h) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM p JOIN f ON p.h = f.h
+"""
