@@ -46,6 +46,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that go to Python at once while an operator runs; texts are long, and a worker holds a batch several times over.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Tables of one operator, written as Parquet to the shared folder; they go when the operator's result is checkpointed."""
 
@@ -67,9 +72,12 @@ class Scratch:
             self._delete(self._paths.pop(id(df))[1])
 
     def __enter__(self) -> Scratch:
+        self._rows = self.spark.conf.get(_ARROW)
+        self.spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(self._rows) if int(self._rows) > 0 else ARROW_ROWS)))
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(_ARROW, self._rows)
         self._delete(self.path)
 
     def _delete(self, name: str) -> None:

@@ -39,7 +39,7 @@ CHUNK = 4096
 SKETCH = 4
 #: Listed n-grams before a row's own that round two compares.
 BEFORE = 3
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
