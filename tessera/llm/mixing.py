@@ -24,7 +24,7 @@ from tessera.llm._common import checkpointed, read, shards, small_side, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-PER_SHARD = 20_000
+PER_SHARD = 1_000
 FAN_IN = 64
 SEED = 20_240_501
 
