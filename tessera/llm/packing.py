@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Scratch, checkpointed, read, shards, text_of
+from tessera.llm._common import checkpointed, read, shards, text_of
 
 WINDOW = 4096
 PER_SHARD = 4000
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Runs of a generation that a Python worker remembers (two are about 150 MB).
-CACHED_WORDS = 300_000
+#: Runs of a generation that a Python worker remembers (two are about 250 MB).
+CACHED_WORDS = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -110,6 +110,7 @@ def _cut(window: int, tokenizer: str):
                     out.append((doc, at, len(piece) // 4, zlib.crc32(piece), total))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        ids_of.older = {}  # the worker may go on to other work
 
     return cut
 
@@ -188,8 +189,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKEN
     Every document ends with id 2, so a null or empty text is one piece of one token. Rows that repeat a doc_id are
     packed each on its own. A null doc_id is kept. An empty table gives no rows; other columns are ignored.
     """
-    with Scratch(docs.sparkSession, "packing"):  # for its small Arrow batches
-        pieces = checkpointed(docs.select("doc_id", text_of().alias("text")).mapInArrow(_cut(window, tokenizer), PIECES))
+    pieces = checkpointed(docs.select("doc_id", text_of().alias("text")).mapInArrow(_cut(window, tokenizer), PIECES))
     n = shards(pieces.count(), per_shard)
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)).cast("long"))
     return dealt.groupBy("_shard").applyInPandas(_pack(window), PACKED)
