@@ -1,6 +1,6 @@
 """Word n-gram Jaccard self-join of documents: prefix filtering with rare n-grams first.
 
-1. One scan hashes each document's n-grams (64 bits), keeps its set's size, digest and a sketch of 256 parities, and
+1. One scan hashes each document's n-grams (64 bits), keeps its set's size, digest and a sketch of 1024 parities, and
    counts n-grams in a table of 2**18 cells, whose size does not depend on the input. Cells rank n-grams by how common
    they are; any ranking gives the same links, a better one shorter candidate lists.
 2. Documents with equal sets are one node, so copies cost one node whatever their number.
@@ -35,8 +35,9 @@ from tessera.llm._common import Scratch, checkpointed, read, small_side, text_of
 
 CELL_BITS = 18
 CHUNK = 4096
-#: 64-bit words of a set's sketch.
-SKETCH = 4
+#: 64-bit words of a set's sketch, and of its fold that goes with the rows of round two.
+SKETCH = 16
+FOLDED = 4
 #: Listed n-grams before a row's own that round two compares.
 BEFORE = 3
 CACHED_WORDS = 150_000
@@ -156,21 +157,32 @@ def _may_link(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> C
     return (F.least(n1, n2).cast("long") * 100 >= F.greatest(n1, n2).cast("long") * percent) & (shared * (100 + percent) >= (n1.cast("long") + n2) * percent)
 
 
-_WORDS = [f"k{k}" for k in range(SKETCH)]
+_WORDS = [f"k{k}" for k in range(FOLDED)]
+
+
+def _folded(sketch: Column, k: int) -> Column:
+    """Word k of the fold: parities of cells that are taken together add up to the parity of both."""
+    out = sketch[k]
+    for j in range(k + FOLDED, SKETCH, FOLDED):
+        out = out.bitwiseXOR(sketch[j])
+    return out
+
+
+def _overlap_may_do(percent: int, total: Column, apart: Column) -> Column:
+    return (total - apart) * (100 + percent) >= total * (2 * percent)
 
 
 def _alike(percent: int, n: Column, m: Column, one: list[Column], two: list[Column]) -> Column:
     """Suffix filter: each parity in which two sketches differ is of another n-gram that only one set has, which bounds the overlap."""
     apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one[1:], two[1:], strict=True)), F.bit_count(one[0].bitwiseXOR(two[0])))
-    total = n.cast("long") + m
-    return (total - apart) * (100 + percent) >= total * (2 * percent)
+    return _overlap_may_do(percent, n.cast("long") + m, apart)
 
 
 def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches do not prove too small an overlap."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(k).alias(f"{x}_{k}") for k in _WORDS])
-    cols = lambda x: [F.col(f"{x}_{k}") for k in _WORDS]
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(percent, F.col("a_n"), F.col("b_n"), cols("a"), cols("b"))).select("a", "b")
+    """Pairs whose whole sketches do not prove too small an overlap."""
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_k"))
+    apart = F.aggregate(F.zip_with("a_k", "b_k", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_overlap_may_do(percent, F.col("a_n").cast("long") + F.col("b_n"), apart)).select("a", "b")
 
 
 def _verify(words: int, percent: int):
@@ -254,12 +266,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         groups = scratch.table(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")))
         copies = sets.where("n > 0").join(groups, key).select("doc_id", "n", "node", "sketch")
         copies = scratch.table(copies)
-        own = copies.where("doc_id = node").select(F.col("doc_id").alias("id"), "n", *[F.col("sketch")[k].alias(w) for k, w in enumerate(_WORDS)])
+        own = copies.where("doc_id = node").select(F.col("doc_id").alias("id"), "n", "sketch")
         nodes = scratch.table(own.dropDuplicates(["id"]))
         n_nodes = nodes.count()
         distinct_ids = own.count() == n_nodes
         if not distinct_ids:  # an id with several texts has no sketch of its own
-            nodes = scratch.table(nodes.withColumns({w: F.lit(0).cast("long") for w in _WORDS}))
+            nodes = scratch.table(nodes.withColumn("sketch", F.array_repeat(F.lit(0).cast("long"), SKETCH)))
         extra = copies.where("doc_id IS NULL OR doc_id <> node").select(F.col("doc_id").alias("id"))
         keyed = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
         single = keyed.join(small_side(extra, extra.count()), "id", "left_anti")
@@ -282,7 +294,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         before = [F.lag("gram", k).over(Window.partitionBy("id").orderBy("pos")) if distinct_ids else F.lit(None).cast("long") for k in range(1, BEFORE + 1)]
         names = [f"before_{k}" for k in range(BEFORE)]
         placed = labelled(labelled(listed.withColumns(dict(zip(names, before, strict=True))), "id", "label"), "hub", "hub_label")
-        placed = placed.join(small_side(nodes.select("id", *_WORDS), n_nodes), "id")
+        folds = nodes.select("id", *[_folded(F.col("sketch"), k).alias(w) for k, w in enumerate(_WORDS)])
+        placed = placed.join(small_side(folds, n_nodes), "id")
         own_columns = ["id", "n", "pos", "label", *names, *_WORDS]
         placed = scratch.table(placed.select("gram", (F.col("label") != F.col("hub_label")).alias("apart"), *own_columns))
         scratch.drop(listed)
