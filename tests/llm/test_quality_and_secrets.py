@@ -60,6 +60,26 @@ def test_line_quality(spark):
     assert line_quality.line_quality(empty(spark)).count() == 0
 
 
+def test_lines_of_different_documents_with_the_same_header(spark):
+    rng = random.Random(2)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts, hosts = [], []
+    for host in range(12):
+        header = [own(3) for _ in range(2 + host % 2)]
+        texts += ["\n".join([*header, own(30)]) for _ in range(60)]
+        hosts += [f"h{host}"] * 60
+    for k, r in enumerate(sorted(line_quality.line_quality(documents(spark, texts, hosts)).collect(), key=lambda r: r.doc_id)):
+        assert r.kept and r.removed_lines == (None if k % 60 == 0 else list(range(2 + k // 60 % 2)))
+
+
+def test_the_limit_counts_copies_once_too(spark):
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = [f"{own(20)}\nFooter of the host" for _ in range(40)] + [f"{own(20)}\n{own(20)}"] * 100
+    got = {r.doc_id: r for r in line_quality.line_quality(documents(spark, texts, ["h"] * 140), share=0.5).collect()}
+    assert all(got[k].removed_lines == [1] for k in range(1, 40)) and all(got[k].kept and got[k].removed_words == 0 for k in range(40, 140))
+
+
 def plain(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
