@@ -49,9 +49,19 @@ def _luhn(found: str) -> bool:
     return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and total % 10 == 0
 
 
+#: Characters of an IBAN by country, as registered; other countries may have any length from 15 to 34.
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 "
+        "KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+
+
 def _iban(found: str) -> bool:
     s = found.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return 15 <= len(s) <= 34 and len(s) == IBAN_LENGTHS.get(s[:2], len(s)) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def _json_part(part: str) -> bool:
@@ -66,8 +76,9 @@ def _web_token(found: str) -> bool:
     return _json_part(head) and _json_part(body)
 
 
-#: kind, keyword in lower case, expression, whether it is anchored at the keyword (else it starts within NEAR characters after it), check.
-NEAR = 48
+#: kind, keyword in lower case, expression, whether it is anchored at the keyword (else it starts within NEAR characters after it, or
+#: after an earlier span of its list, and may end after any of its groups), check. An expression that is not anchored matches at most MOST characters.
+NEAR, MOST = 48, 64
 RULES: list[tuple[str, str, re.Pattern, bool, Callable[[str], bool] | None]] = [
     ("github", "ghp_", re.compile(r"ghp_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), True, _checked_token),
     ("github", "gho_", re.compile(r"gho_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), True, _checked_token),
@@ -79,8 +90,8 @@ RULES: list[tuple[str, str, re.Pattern, bool, Callable[[str], bool] | None]] = [
     ("slack", "xox", re.compile(r"xox[baprs]-[0-9]{8,14}-[A-Za-z0-9-]{10,80}"), True, None),
     ("stripe", "sk_live_", re.compile(r"sk_live_[A-Za-z0-9]{24,99}"), True, None),
     ("private_key", "-----begin ", re.compile(r"-----BEGIN (?:[A-Z]{2,9} )?PRIVATE KEY-----"), True, None),
-    ("card", "card", re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), False, _luhn),
-    ("iban", "iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9])"), False, _iban),
+    ("card", "card", re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}"), False, _luhn),
+    ("iban", "iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"), False, _iban),
 ]
 KINDS = ["assign", "access", "hex", *dict.fromkeys(r[0] for r in RULES)]
 ASSIGN_KEYS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
@@ -100,6 +111,19 @@ def automaton():
 
 
 _AUTOMATON: list = []
+_GROUP_END = {"card": re.compile(r"[0-9](?![0-9])"), "iban": re.compile(r"[A-Z0-9](?![A-Z0-9])")}
+
+
+def _near(text: str, pattern: re.Pattern, group_end: re.Pattern, check: Callable[[str], bool], at: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Spans that start from at to limit, each the longest at its start that passes; a span moves the limit to NEAR after its end."""
+    while at <= limit and (m := pattern.search(text, at, limit + MOST)) and m.start() <= limit:
+        at = m.start() + 1
+        # no end of the search here: whether a group ends is seen from the character after it
+        for end in reversed([g.end() for g in group_end.finditer(text, m.start(), m.end() + 1) if g.end() <= m.end()]):
+            if check(text[m.start() : end]):
+                yield m.start(), end
+                at, limit = end, max(limit, end + NEAR)
+                break
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -107,14 +131,20 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if not _AUTOMATON:
         _AUTOMATON.append(automaton())
     ends: dict[str, int] = {}
+    tried: dict[str, int] = {}
     spans: list[tuple[str, int, int]] = []
     hits = sorted(((end - n + 1, of) for end, (n, of) in _AUTOMATON[0].iter(text.translate(_FOLD))), key=lambda hit: hit[0]) if text else []
     for at, rules in hits:
         for kind, pattern, anchored, check in rules:
+            if not anchored:
+                found = list(_near(text, pattern, _GROUP_END[kind], check, max(at, tried.get(kind, 0)), at + NEAR))
+                spans += [(kind, *x) for x in found]
+                tried[kind] = max(tried.get(kind, 0), (found[-1][1] if found else at) + NEAR + 1)
+                continue
             if at < ends.get(kind, 0):
                 continue
-            m = pattern.match(text, at) if anchored else pattern.search(text, at, at + NEAR + 64)
-            if not m or m.start() < ends.get(kind, 0) or not anchored and m.start() > at + NEAR:
+            m = pattern.match(text, at)
+            if not m:
                 continue
             if kind == "assign" or kind == "access":  # a match uses up its characters even if it is too short
                 ends[kind] = m.end()
