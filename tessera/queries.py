@@ -688,6 +688,24 @@ def convex_no_fit_polygons(t: Instances) -> DataFrame:
     return kernels.no_fit_rings(a.join(b, ["type", "slot"]).where("first_id < second_id")).select("first_id", "second_id", "doubled_area")
 
 
+@query()
+def convex_no_fit_all_pairs(t: Instances) -> DataFrame:
+    # the kernel sees each pair of distinct shapes of a type once; all pairs of their pieces are attached to it
+    shape = ["kind", "w", "h"]
+    key = F.struct(*shape)
+    pieces = t.piece.select("type", "piece_id", key.alias("shape"))
+    shapes = families.distinct_shapes(t.piece, shape).select(F.col("representative").alias("id"), key.alias("shape")).join(with_ring(t.piece).select(F.col("piece_id").alias("id"), "ring"), "id")
+    of_type = pieces.select("type", "shape").distinct().join(shapes, "shape")
+    a = of_type.select("type", F.col("id").alias("first_id"), F.col("ring").alias("fixed"))
+    b = of_type.select("type", F.col("id").alias("second_id"), F.col("ring").alias("moving"))
+    # the area is the same whichever of the two moves
+    areas = kernels.no_fit_rings(a.join(b, "type").where("first_id <= second_id").drop("type").dropDuplicates(["first_id", "second_id"])).select(F.col("first_id").alias("x"), F.col("second_id").alias("y"), "doubled_area")
+    owned = pieces.join(shapes.select("id", "shape"), "shape").select("type", "piece_id", "id")
+    one, two = owned.select("type", F.col("piece_id").alias("first_id"), F.col("id").alias("i")), owned.select("type", F.col("piece_id").alias("second_id"), F.col("id").alias("j"))
+    pairs = one.join(two, "type").where("first_id < second_id").withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")})
+    return pairs.join(areas, ["x", "y"]).select("first_id", "second_id", "doubled_area")
+
+
 @query(cte("piece") + f"SELECT piece_id, {AREA2} AS doubled_area FROM piece")
 def periodic_cells(t: Instances) -> DataFrame:
     # triangles and quadrangles tile the plane with their half turns, so the best cell wastes nothing

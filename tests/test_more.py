@@ -94,3 +94,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["run-dxf", f"{tmp_path}/d", "--sheet", "50", "50", "--out", f"{tmp_path}/o3"]) == 0
     (row,) = [json.loads(x) for f in Path(tmp_path, "o3").glob("part-*") for x in f.read_text().splitlines()]
     assert row["placed"] == 1 and abs(row["hull"] / 2e6 - math.pi * 5.25**2) < 8
+
+
+def test_no_fit_of_all_pairs(spark, sf):
+    from tessera.kernels import convex
+    from tessera.plans.instances import Instances
+    from tessera.queries import QUERIES, with_ring
+
+    pieces = {r.piece_id: (r.type, r.kind, [(p.x, p.y) for p in r.ring]) for r in with_ring(Instances(spark, sf).piece).collect()}
+    got = {(r.first_id, r.second_id): r.doubled_area for r in QUERIES["convex_no_fit_all_pairs"](spark, sf).collect()}
+    want = {(a, b): (p[2], q[2]) for a, p in pieces.items() for b, q in pieces.items() if a < b and p[0] == q[0]}
+    assert set(got) == set(want) and {pieces[a][1] for a, _ in got} == {0, 1, 2}
+    for pair in sorted(want)[::3]:
+        fixed, moving = want[pair]
+        assert got[pair] == convex.doubled_area(convex.no_fit_by_pairs(convex.hull(fixed), convex.hull(moving)))
