@@ -108,3 +108,12 @@ def test_no_fit_of_all_pairs(spark, sf):
     for pair in sorted(want)[::3]:
         fixed, moving = want[pair]
         assert got[pair] == convex.doubled_area(convex.no_fit_by_pairs(convex.hull(fixed), convex.hull(moving)))
+
+
+def test_frontier_beam_goes_through_all_pieces(spark, sf):
+    from tessera.plans.instances import Instances
+    from tessera.queries import QUERIES
+
+    most = {r.job_id: r.n for r in Instances(spark, sf).inst.groupBy("job_id").agg(F.max("ord").alias("n")).collect()}
+    got = {r.job_id: r for r in QUERIES["frontier_beam"](spark, sf).collect()}
+    assert all(got[k].depth == n for k, n in most.items()) and max(r.placed for r in got.values()) > 3
