@@ -761,12 +761,12 @@ _OUTCOME = ["job_id", "status", "placed", "unplaced", "origin", "max_side", "are
 
 @query()
 def greedy_decoder(t: Instances) -> DataFrame:
-    return jobs.layout_jobs(_job_pieces(t, 8), cap=4, decode_only=True).select(*_OUTCOME)
+    return jobs.layout_jobs(_job_pieces(t, 8), decode_only=True).select(*_OUTCOME)
 
 
 @query()
 def layout_jobs(t: Instances) -> DataFrame:
-    return jobs.layout_jobs(_job_pieces(t, 6), beam=4, cap=4).select(*_OUTCOME)
+    return jobs.layout_jobs(_job_pieces(t, 6)).select(*_OUTCOME)
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS job_id, CAST(event_id AS BIGINT) AS event_id, event_type AS kind, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS ordinal FROM events")

@@ -117,3 +117,22 @@ def test_frontier_beam_goes_through_all_pieces(spark, sf):
     most = {r.job_id: r.n for r in Instances(spark, sf).inst.groupBy("job_id").agg(F.max("ord").alias("n")).collect()}
     got = {r.job_id: r for r in QUERIES["frontier_beam"](spark, sf).collect()}
     assert all(got[k].depth == n for k, n in most.items()) and max(r.placed for r in got.values()) > 3
+
+
+def test_registered_searches_try_all_turns(spark, sf, monkeypatch):
+    from tessera import queries
+    from tessera.search import capacity, jobs
+
+    placed = []
+    real = jobs.layout_jobs
+
+    def kept(pieces, **options):
+        out = real(pieces, **options).cache()
+        placed.append([p for r in out.collect() for p in r.placements])
+        assert options.get("cap", 8) == 8 and options.get("beam", capacity.BEAM) == 16
+        return out
+
+    monkeypatch.setattr(jobs, "layout_jobs", kept)
+    for name in ("greedy_decoder", "layout_jobs"):
+        assert queries.QUERIES[name](spark, sf).where("NOT legal").count() == 0
+    assert all(any(p.mirrored for p in of) and any(p.rotation % 90 != 0 for p in of) for of in placed)
