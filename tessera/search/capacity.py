@@ -34,7 +34,7 @@ def search(search_: Search, order: list[Shape], shapes: dict[str, Shape], sheet:
                 found = sorted(search_.scored(state, shapes, shape, sheet))[: max(0, quota - used)]
                 used += len(found)
                 pick = found[:fanout]
-                near = [c for c in found[fanout : fanout + 32]]
+                near = found[fanout:]
                 if near:
                     pick.append(max(near, key=lambda c: (round(search_.contact(state, shape, c)), [-v for v in c])))
                 options += [state.placed(shape, c[3], c[5], c[4]) for c in pick]

@@ -180,10 +180,14 @@ def short_side(shapes: list[Shape], sheet: tuple[int, int], compact: Layout) ->
                     layout = layout.placed(shape, t, x, y)
                 found += [("periodic", layout.quarter(q)) for q in (0, 90)]
     ok = [(n, e) for n, e in found if len(e.ids) == len(compact.ids) and (b := e.bounds()) and b[2] - b[0] <= short and b[3] - b[1] <= long]
-    # the dear measures only for those that lead by the cheap ones
-    cheap = [(directional_key_cheap(e, short), n, e) for n, e in ok]
-    lead = sorted(cheap, key=lambda c: (c[0], c[1]))[:4]
-    ranked = sorted(((directional_key(e, short), n, e) for _, n, e in lead if legal(e, None)), key=lambda r: r[0])
+    # the cheap measures come first in the order: the dear ones only decide among the legal layouts that lead by them
+    lead: list[tuple] = []
+    for c in sorted(((directional_key_cheap(e, short), n, e) for n, e in ok), key=lambda c: (c[0], c[1])):
+        if lead and c[0] > lead[0][0]:
+            break
+        if legal(c[2], None):
+            lead.append(c)
+    ranked = sorted(((directional_key(e, short), n, e) for _, n, e in lead), key=lambda r: r[0])
     if not ranked:
         return compact, "capacity"
     _, name, best = ranked[0]

@@ -136,3 +136,20 @@ def test_registered_searches_try_all_turns(spark, sf, monkeypatch):
     for name in ("greedy_decoder", "layout_jobs"):
         assert queries.QUERIES[name](spark, sf).where("NOT legal").count() == 0
     assert all(any(p.mirrored for p in of) and any(p.rotation % 90 != 0 for p in of) for of in placed)
+
+
+def test_short_side_takes_the_first_legal_layout(monkeypatch):
+    from tessera.search import jobs
+
+    ring = [{"x": x, "y": y} for x, y in ((0, 0), (40_000, 0), (40_000, 20_000), (0, 20_000))]
+    shapes = jobs.prepare([{"id": f"p{k}", "ring": ring, "allow_rotation": True, "allow_mirror": True} for k in range(6)], 4_000)
+    compact, _, _ = jobs.solve(shapes, (300_000, 300_000), 4)
+    seen = []
+
+    def fifth(layout, sheet):
+        seen.append(layout)
+        return len(seen) > 4
+
+    monkeypatch.setattr(jobs, "legal", fifth)
+    jobs.short_side(shapes, (300_000, 300_000), compact)
+    assert len(seen) > 4
