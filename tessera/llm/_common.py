@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: At most this many ids (8 bytes each) are broadcast to filter a scan; beyond it the filter is a shuffled join.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only if its counted rows, at their bytes, stay within this; beyond it the join is shuffled.
+BROADCAST_BYTES = 16 << 20
+#: Keys with more than one of this many parts of all rows are heavy; there are no more of them than this.
+HEAVY_KEYS = 50_000
+#: Rows of a key that one task takes in any case.
+LEAST_HEAVY = 100
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,11 +34,13 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only a session without one (as in tests) gets a folder of its own."""
+    """The folder of spark.checkpoint.dir. Only a session in one process (as in tests) may do without and gets a folder of its own."""
     sc = spark.sparkContext
     set_ = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not set_ and (sc.master or "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(set_ or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return set_ or current.get()
@@ -90,6 +96,25 @@ def shards(rows: int, per_shard: int) -> int:
     return max(1, -(-rows // per_shard))
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast only if its counted rows are below BROADCAST_ROWS; else Spark shuffles it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def fits(rows: int, row_bytes: int) -> bool:
+    """Whether that many rows may be broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def small_side(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
+    """df, to be broadcast only if its counted rows of row_bytes each are within BROADCAST_BYTES; else Spark shuffles it."""
+    return F.broadcast(df) if fits(rows, row_bytes) else df
+
+
+def lookup(rows: DataFrame, side: DataFrame, key: str, weight: str, n_rows: int, n_side: int, row_bytes: int = 32) -> DataFrame:
+    """Inner join of rows with side, which has one row a key and in ``weight`` how many of the n_rows have it at most.
+
+    A side that is small goes to every task. Of a larger one only the heavy keys do (their number is bounded by what
+    makes them heavy), so that none of the keys that are shuffled has more rows than a task can take.
+    """
+    if fits(n_side, row_bytes):
+        return rows.join(F.broadcast(side.drop(weight)), key)
+    least = max(LEAST_HEAVY, n_rows // HEAVY_KEYS)
+    heavy, light = side.where(F.col(weight) > least).drop(weight), side.where(F.col(weight) <= least).drop(weight)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))

@@ -1,19 +1,17 @@
 """Quality rules: base rules on each text, and how often its lines come back in other documents of its host.
 
-A line is compared in lower case, with white space collapsed and digits alike. Its count on a host is of distinct
-documents, where copies and near copies count once: documents with the same set of lines are one, and so are those that
-links of similar sets connect (Jaccard of the lines weighted by their words, ``NEAR`` or more). So a line that many
-different documents share is above its limit, and the lines of a page that was copied many times are not. The limit is
-the larger of ``min_docs`` and ``share`` of the host's documents, counted in the same way. Lines above it are removed,
-except from the host's smallest doc_id that has them, and a document that loses too much is depleted.
-
-Similar sets meet in one of ``BANDS`` buckets, each of ``MINIMA`` weighted minima that must all agree; every set of a
-bucket is held against the most copied one, whole. A link at the threshold is missed in about 1 of 70 cases.
-
-Counts cover all lines. The pairs (line, document) are combined before and after each shuffle, so a line in every
-document is one row a task; hot lines are broadcast only below a checked number.
+A line is compared in lower case, with white space collapsed and digits alike, by a 64-bit hash of it and of its host. Its
+count on a host is of distinct documents: exact, and documents with the same set of lines (copies) are one document, so
+that a page does not lose its lines for having been copied. Near copies are different documents. The limit is the larger
+of ``min_docs`` and ``share`` of the host's distinct documents. Lines above it are removed, except from the host's
+smallest doc_id that has them, and a document that loses too much is depleted.
+
+Counts cover all lines. (line, set) pairs are combined before and after their shuffle, then counted by line with partial
+sums, so a line in every document is one row a task; hot lines are broadcast only within a checked size, beyond which
+only the heaviest are.
 """
 
+
 from __future__ import annotations
 
 from collections import Counter
@@ -26,21 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Scratch, checkpointed, read, small_side, text_of
-from tessera.llm.ngram_join import components
+from tessera.llm._common import Scratch, checkpointed, lookup, read, small_side, text_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_DOCS = 20
 SHARE = 0.01
 LEAST_LEFT = 0.3
-NEAR = 0.7
-BANDS, MINIMA = 10, 3
 
 _SYMBOLS = b"#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
-SCAN = "row long, doc_id long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, set long, marks array<long>, bands array<long>, lines array<struct<line:int,key:long,words:int>>"
+SCAN = "row long, doc_id long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, set long, lines array<struct<line:int,key:long,words:int>>"
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -70,62 +65,21 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def bands(sets: list[dict[int, int]]) -> np.ndarray:
-    """For each set of line keys and their words, none of them empty, its BANDS buckets. A minimum of two sets is the same with their weighted Jaccard as probability."""
-    keys = np.array([_signed(k) for s in sets for k in s], np.int64).view(np.uint64)
-    weight = np.array([w for s in sets for w in s.values()], np.float64)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for k in range(BANDS * MINIMA):
-        u = ((_mixed(keys + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
-        least = np.minimum.reduceat(-np.log(u) / weight, starts)
-        out[:, k // MINIMA] = _mixed(out[:, k // MINIMA] + least.view(np.uint64) + np.uint64(k + 1))
-    return out.view(np.int64)
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        out, sets = [], []
+        out = []
         for doc, host, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             text = value.as_py()
             host = _signed(xxhash.xxh64_intdigest(b"-" if host is None else b"+" + host.encode()))
             lines = [{"line": k, "key": _signed(line_key(x, host)), "words": w} for k, x in enumerate(text.encode().split(b"\n")) if (w := len(x.split()))]
-            words = {x["key"]: x["words"] for x in lines}
-            whole = _signed(xxhash.xxh64_intdigest(np.array(sorted(words), np.int64).tobytes() if words else text.encode(), seed=host & (2**64 - 1)))
-            # 48 bits of the key and its words in one number, for the comparison of two sets
-            marks = sorted((k & ~0xFFFF) | min(w, 0xFFFF) for k, w in words.items()) if len(words) > 1 else []
-            if marks:
-                sets.append((len(out), words))
-            out.append([row, doc, host, *base_counts(text), whole, marks, [], lines])
+            keys = sorted({x["key"] for x in lines})
+            whole = _signed(xxhash.xxh64_intdigest(np.array(keys, np.int64).tobytes(), seed=host & (2**64 - 1)))
+            out.append((row, doc, host, *base_counts(text), whole, lines))
             row += 1
-        if sets:
-            for (k, _), found in zip(sets, bands([x for _, x in sets]).tolist(), strict=True):
-                out[k][10] = found
-        cols = list(zip(*out, strict=True)) or [[]] * 12
+        cols = list(zip(*out, strict=True)) or [[]] * 10
         line = pa.list_(pa.struct([("line", pa.int32()), ("key", pa.int64()), ("words", pa.int32())]))
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:9]], pa.array(cols[9], longs), pa.array(cols[10], longs), pa.array(cols[11], line)], names=[x.split()[0] for x in SCAN.split(", ")])
-
-
-def _copies(scanned: DataFrame, scratch: Scratch) -> DataFrame:
-    """(set, copy): the class of each set of lines that similar sets of its host connect to another."""
-    sets = scratch.table(scanned.where(F.size("bands") > 0).groupBy("set").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")))
-    own = scratch.table(scanned.select("row", "marks", "bands").join(sets, "row"))
-    listed = own.select("set", "copies", F.explode("bands").alias("band"))
-    hubs = listed.groupBy("band").agg(F.max(F.struct("copies", "set")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.col("hub.set").alias("hub"))
-    pairs = scratch.table(listed.join(hubs, "band").where("set <> hub").select("set", "hub").distinct())
-    hub = own.select(F.col("set").alias("hub"), F.col("marks").alias("hub_marks"))
-    words = lambda marks: F.aggregate(marks, F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(0xFFFF))
-    held = pairs.join(own.select("set", "marks"), "set").join(hub, "hub").select("set", "hub", words(F.col("marks")).alias("n"), words(F.col("hub_marks")).alias("m"), words(F.array_intersect("marks", "hub_marks")).alias("common"))
-    links = scratch.table(held.where(F.col("common") >= NEAR * (F.col("n") + F.col("m") - F.col("common"))).select(F.col("set").alias("a"), F.col("hub").alias("b")))
-    return components(links, scratch).select(F.col("id").alias("set"), F.col("component").alias("copy"))
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:9]], pa.array(cols[9], line)], names=[x.split()[0] for x in SCAN.split(", ")])
 
 
 def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -140,17 +94,15 @@ def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("host"), text_of().alias("text"))
     with Scratch(docs.sparkSession, "lines") as scratch:
         scanned = scratch.table(rows.mapInArrow(_scan, SCAN))
-        copies = scratch.table(_copies(scanned, scratch))
-        copies = small_side(copies, copies.count())
-        classed = lambda df: df.join(copies, "set", "left").withColumn("copy", F.coalesce("copy", "set"))
         lines = scanned.select("row", "doc_id", "host", "set", F.explode("lines").alias("l")).select("row", "doc_id", "host", "set", "l.*")
-        pairs = classed(lines).groupBy("key", "copy").agg(F.min("doc_id").alias("first"), F.min("host").alias("host"))
-        counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"), F.min("host").alias("host")).where(F.col("docs") > min_docs)
-        hosts = classed(scanned.select("host", "set")).select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-        hot = scratch.table(counts.join(hosts, "host").where(F.col("docs") > share * F.col("host_docs")).select("key", "first"))
-        removed = lines.join(small_side(hot, hot.count()), "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+        pairs = lines.groupBy("key", "set").agg(F.min("doc_id").alias("first"), F.min("host").alias("host"), F.count(F.lit(1)).alias("n"))
+        counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"), F.min("host").alias("host"), F.sum("n").alias("n")).where(F.col("docs") > min_docs)
+        hosts = scratch.table(scanned.select("host", "set").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")))
+        hot = scratch.table(counts.join(small_side(hosts, hosts.count()), "host").where(F.col("docs") > share * F.col("host_docs")).select("key", "first", "n"))
+        n_hot, n_lines = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        removed = lookup(lines.select("row", "doc_id", "key", "line", "words"), hot, "key", "n", n_lines, n_hot).where(~F.col("doc_id").eqNullSafe(F.col("first")))
         removed = removed.groupBy("row").agg(F.sum("words").alias("removed_words"), F.array_sort(F.collect_list("line")).alias("removed_lines"))
-        judged = scanned.drop("lines", "set", "marks", "bands", "host").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+        judged = scanned.drop("lines", "set", "host").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         left = F.col("n_words") - F.col("removed_words")
         depleted = (F.col("removed_words") > 0) & ((left < MIN_WORDS) | (left < least_left * F.col("n_words")))
         failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -165,7 +117,8 @@ def drop_low_quality(docs: DataFrame, **options) -> DataFrame:
     """
     found = line_quality(docs, **options).groupBy(F.col("doc_id").alias("__tsid")).agg(F.max("kept").alias("__tskept"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed_lines")))).alias("__tslines"))
     found = checkpointed(found.where("NOT __tskept OR size(__tslines) > 0"))
-    out = docs.join(small_side(found, found.count()), docs["doc_id"].eqNullSafe(F.col("__tsid")), "left").where("__tskept IS NULL OR __tskept")
+    size = found.agg(F.coalesce(F.sum(40 + 4 * F.size("__tslines")), F.lit(0))).first()[0]
+    out = docs.join(small_side(found, size, 1), docs["doc_id"].eqNullSafe(F.col("__tsid")), "left").where("__tskept IS NULL OR __tskept")
     clean = F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("__tslines", k)), "\n")
     out = out.withColumn("text", F.when(F.size(F.coalesce("__tslines", F.array().cast("array<int>"))) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
