@@ -2,8 +2,9 @@
 
 A document longer than the window is first cut into full windows. What is left is packed in decreasing order of
 length: a segment tree indexed by remaining capacity finds the tightest open window that still holds the piece.
-Pieces are dealt over groups of about ``PER_SHARD`` rows by a hash of their id, so the number of independent packings
-grows with the input, a task never holds more than a group, and what a group's last windows lack stays negligible.
+Pieces are dealt over groups of about ``PER_SHARD`` rows by a hash of their place in the written table of pieces, so a
+doc_id on any number of rows is dealt evenly, the number of independent packings grows with the input, a task never holds
+more than a group, and what a group's last windows lack stays negligible.
 Only piece lengths move; texts and ids of tokens never leave the task that reads them.
 """
 
@@ -15,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def _latin(run: str) -> bool:
-    """Letters only, of the Latin blocks up to U+024F: one word to the tokenizer."""
+    """Letters only, of the Latin blocks up to U+024F: one word to the tokenizer, unless its lower case holds a combining mark."""
     return run.isalpha() and max(run) < "\u0250"
 
 
@@ -43,7 +43,8 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its runs. A word in
     lower case goes to the tokenizer's model at once, others in their lower-case form, and a comma or stop
-    after a word on its own, as the tokenizer splits them; all other runs take the whole tokenizer. Runs are remembered
+    after a word on its own, as the tokenizer splits them (after a word only: a mark that lower-casing leaves would join
+    it); all other runs take the whole tokenizer. Runs are remembered
     in two generations: when the younger is full it becomes the older, from which what is met again moves on.
     """
 
@@ -72,7 +73,7 @@ class WordIds(dict):
                 out = self._pack([t.id for t in self.model.tokenize(run if run.isascii() else self.spelled(run)[0][0])])
             else:
                 out = self[low] if _latin(low) else self._pack(self.tokenizer.encode(run, add_special_tokens=False).ids)
-        elif run[-1] in ",." and _latin(run[:-1]):
+        elif run[-1] in ",." and _latin(run[:-1]) and _latin(run[:-1].lower()):
             out = self[run[:-1]] + self[run[-1]]
         else:
             out = self._pack(self.tokenizer.encode(run, add_special_tokens=False).ids)
@@ -173,12 +174,11 @@ def best_fit_decreasing(lengths, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(window: int):
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        which, offset = best_fit_decreasing(rows["length"].tolist(), window)
-        rows["sequence_id"] = (rows["_shard"].to_numpy() << 32) + which
-        rows["offset"] = offset
-        return rows.drop(columns="_shard")
+    def pack(group: pa.Table) -> pa.Table:
+        rows = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        which, offset = best_fit_decreasing(rows["length"].to_pylist(), window)
+        sequence = (rows["_shard"].to_numpy() << 32) + which
+        return rows.drop_columns("_shard").append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     return pack
 
@@ -189,10 +189,10 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKEN
     Every document ends with id 2, so a null or empty text is one piece of one token. Rows that repeat a doc_id are
     packed each on its own. A null doc_id is kept. An empty table gives no rows; other columns are ignored.
     """
-    pieces = checkpointed(docs.select("doc_id", text_of().alias("text")).mapInArrow(_cut(window, tokenizer), PIECES))
+    pieces = checkpointed(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_cut(window, tokenizer), PIECES))
     n = shards(pieces.count(), per_shard)
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)).cast("long"))
-    return dealt.groupBy("_shard").applyInPandas(_pack(window), PACKED)
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("long"))
+    return dealt.groupBy("_shard").applyInArrow(_pack(window), PACKED)
 
 
 def op2_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
