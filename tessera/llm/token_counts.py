@@ -1,6 +1,6 @@
 """Token counts of whole texts by an unchanged public tokenizer, as lengths only.
 
-Texts are encoded in batches of about ``BATCH_BYTES``, whatever their number, and a text above ``LONG_CHARS`` is split
+Texts are encoded in batches of about ``BATCH_BYTES`` of UTF-8, whatever their number, and a text above ``LONG_CHARS`` is split
 where the count cannot change: before a single space between two characters that are not space. No piece of the model
 has a space after another character, so nothing is ever merged across such a place, and the space that the library
 puts before each text stands for the one left out.
@@ -100,10 +100,11 @@ def _count(name: str, batch_bytes: int, long_chars: int):
             for row, value in enumerate(batch.column(1)):
                 text = value.as_py()
                 n_bytes[row] = value.as_buffer().size
-                for part in split_safely(text, long_chars) if count.splits_safely and len(text) > long_chars else [text]:
+                cut = split_safely(text, long_chars) if count.splits_safely and len(text) > long_chars else [text]
+                for part in cut:
                     parts.append(part)
                     rows.append(row)
-                    held += len(part)
+                    held += n_bytes[row] if len(cut) == 1 else len(part.encode())
                     if held >= batch_bytes:
                         flush()
                         held = 0
