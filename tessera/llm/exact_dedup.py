@@ -47,15 +47,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows are picked by their id and their text's content id; no text is shuffled for it."""
+    """The rows of docs that stay, with all their columns: one for each different text.
+
+    Rows are picked by their id and their text's content id; no text is shuffled for it, but for the rows that stay of
+    an id that is null or stands on several rows.
+    """
     ids = [f"__ts{c}" for c in CONTENT_ID]
     dropped = content_winners(docs, id_col, text_col, salts).where("group_size > 1")
     dropped = checkpointed(dropped.select(*[F.col(c).alias(i) for c, i in zip(CONTENT_ID, ids, strict=True)], F.col("keep_id").alias("__tskeep")))
     marked = docs.withColumn("__tstext", ascii_lower(text_of(text_col)))
     marked = marked.withColumns({i: c for i, c in zip(ids, _content_id("__tstext"), strict=True)}).drop("__tstext")
     n = dropped.count()
-    out = marked.join(small_side(dropped.withColumn("__tsin", F.lit(True)), n), ids, "left")
-    return out.where(F.col("__tsin").isNull() | F.col(id_col).eqNullSafe(F.col("__tskeep"))).select(*docs.columns)
+    out = marked.join(small_side(dropped.withColumn("__tsin", F.lit(True)), n, 120), ids, "left")
+    out = out.where(F.col("__tsin").isNull() | F.col(id_col).eqNullSafe(F.col("__tskeep")))
+    again = docs.groupBy(F.col(id_col).alias("__tsid")).agg(F.count(F.lit(1)).alias("__tsn")).where("__tsn > 1")
+    if not again.isEmpty():  # a text's last id may stand on several of its rows
+        out = out.where("__tsin IS NULL").unionByName(out.where("__tsin").dropDuplicates(ids))
+    return out.select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,13 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_a_repeated_id_and_text(spark):
+    rows = [(1, "a"), (1, "A"), (1, "b"), (2, "b"), (None, "c"), (None, "C"), (None, "d"), (3, "d"), (3, "d"), (3, "e")]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, _n long")
+    kept = sorted((str(r.doc_id), r.text.lower()) for r in exact_dedup.drop_exact_duplicates(docs).collect())
+    assert kept == [("1", "a"), ("2", "b"), ("3", "d"), ("3", "e"), ("None", "c")]
+
+
 def test_exact_dedup_plan_has_no_python(spark, sf):
     plan = exact_dedup.op3_exact_dedup(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
