@@ -106,13 +106,13 @@ def small_side(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
     return F.broadcast(df) if fits(rows, row_bytes) else df
 
 
-def lookup(rows: DataFrame, side: DataFrame, key: str, weight: str, n_rows: int, n_side: int, row_bytes: int = 32) -> DataFrame:
+def lookup(rows: DataFrame, side: DataFrame, key: str, weight: str, n_rows: int, n_side: int | None, row_bytes: int = 32) -> DataFrame:
     """Inner join of rows with side, which has one row a key and in ``weight`` how many of the n_rows have it at most.
 
-    A side that is small goes to every task. Of a larger one only the heavy keys do (their number is bounded by what
+    A side that is small goes to every task. Of a larger one, and of one that grows with the input (n_side None), only the heavy keys do (their number is bounded by what
     makes them heavy), so that none of the keys that are shuffled has more rows than a task can take.
     """
-    if fits(n_side, row_bytes):
+    if n_side is not None and fits(n_side, row_bytes):
         return rows.join(F.broadcast(side.drop(weight)), key)
     least = max(LEAST_HEAVY, n_rows // HEAVY_KEYS)
     heavy, light = side.where(F.col(weight) > least).drop(weight), side.where(F.col(weight) <= least).drop(weight)

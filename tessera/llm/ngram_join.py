@@ -371,12 +371,12 @@ def listed_rows(prefixes: DataFrame, percent: int, scratch: Scratch) -> DataFram
     """Rows of n-grams that more than one node has, with their list's number of index rows (c_index), hub, and (in viable) whether any
     partner of theirs could have the size and position that a link asks for."""
     n, p = F.col("n").cast("long"), F.col("pos")
-    lists = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "id")).alias("hub"), F.sum(_is_index(percent, n, p).cast("long")).alias("c_index"), F.max(n - p).alias("far"), F.min(n).alias("least"), F.max(n).alias("most")).where("c > 1")
-    lists = scratch.table(lists.select("gram", "c", F.col("c").alias("c_all"), "c_index", "far", "least", "most", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")))
-    out = lookup(prefixes, lists, "gram", "c", prefixes.count(), lists.count(), 72)
+    lists = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "id")).alias("hub"), F.sum(_is_index(percent, n, p).cast("long")).alias("c_index"), F.max(n - p).alias("far"), F.min(n).alias("least")).where("c > 1")
+    lists = scratch.table(lists.select("gram", "c", F.col("c").alias("c_all"), "c_index", "far", "least", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")))
+    out = lookup(prefixes, lists, "gram", "c", prefixes.count(), None)
     partner = F.greatest(F.col("least"), F.ceil(n * percent / 100))
-    viable = (F.col("c_all") > 2) & (F.least(n - p, F.col("far")) * (100 + percent) >= (n + partner) * percent) & (F.col("most") * 100 >= n * percent) & (n * 100 >= F.col("least") * percent)
-    return out.withColumn("viable", viable).drop("c_all", "far", "least", "most")
+    viable = (F.col("c_all") > 2) & (F.least(n - p, F.col("far")) * (100 + percent) >= (n + partner) * percent) & (n * 100 >= F.col("least") * percent)
+    return out.withColumn("viable", viable).drop("c_all", "far", "least")
 
 
 def round_two(placed: DataFrame, percent: int) -> DataFrame:
@@ -431,7 +431,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, diges
         full = sets.where("n > 0")
         nodes = scratch.table(full.groupBy("id").agg(F.min(F.when(~F.col("again"), F.col("doc_id"))).alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
         n_nodes, n_full = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        copies = lookup(full.select("doc_id", "id", "again"), nodes.where("rows > 1").select("id", "rep", "rows"), "id", "rows", n_full, n_nodes).where("NOT again AND doc_id <> rep").select("doc_id")
+        copies = lookup(full.select("doc_id", "id", "again"), nodes.where("rows > 1").select("id", "rep", "rows"), "id", "rows", n_full, None).where("NOT again AND doc_id <> rep").select("doc_id")
         skip = scratch.table(copies.union(repeats.where("_id IS NOT NULL").select("_id")))
         single = docs.where("doc_id IS NOT NULL").join(small_side(skip, skip.count()), "doc_id", "left_anti").select("text")
         repeated = None
@@ -461,7 +461,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, diges
         placed = listed.withColumns(dict(zip(names, before, strict=True))).where("viable AND id <> hub").drop("viable", "hub_n", "hub_pos")
         placed = labelled(labelled(placed, "id", "label"), "hub", "hub_label").withColumn("apart", F.col("label") != F.col("hub_label")).drop("hub", "hub_label")
         folds = sketches.select("id", *[_folded(F.col("sketch"), k).alias(w) for k, w in enumerate(_WORDS)])
-        placed = scratch.table(placed.join(small_side(folds, n_nodes, 64), "id"))
+        placed = scratch.table(placed.join(folds, "id"))
         scratch.drop(listed)
         second = scratch.table(round_two(placed, percent).join(first, ["a", "b"], "left_anti"))
         scratch.drop(placed)
@@ -480,7 +480,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, diges
         linked = scratch.table(linked.select("id", "component", "rows"))
         rest = nodes.select("id", F.col("least").alias("component"), "rows").join(small_side(linked.select("id"), n := linked.count()), "id", "left_anti")
         ends = scratch.table(linked.unionByName(rest)) if n else nodes.select("id", F.col("least").alias("component"), "rows")
-        of_set = lookup(full.select("doc_id", "n", "id"), ends.select("id", "component", "rows"), "id", "rows", n_full, n_nodes)
+        of_set = lookup(full.select("doc_id", "n", "id"), ends.select("id", "component", "rows"), "id", "rows", n_full, None)
         out = of_set.select("doc_id", "n", "component").unionByName(_without_words(sets, of_set if n_repeats else None))
         return checkpointed(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id")))
 
