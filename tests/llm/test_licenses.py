@@ -59,26 +59,51 @@ def test_licenses_against_plain_search(spark):
     assert licenses.license_detections(empty(spark)).count() == 0
 
 
-def test_every_rule_needs_a_root_and_its_keyword():
-    assert sum(len(v) for v in licenses.families().values()) >= 300
+def samples(pattern):
+    """Texts that a pattern matches: ways through its alternatives, at the least repeats and with what is optional."""
     import itertools
+    import re._constants as sre
+    import re._parser as parser
 
+    def ways(items, most):
+        out = [""]
+        for op, arg in items:
+            if op is sre.LITERAL:
+                part = [chr(arg)]
+            elif op is sre.IN:
+                part = [chr(arg[0][1] if arg[0][0] is sre.LITERAL else arg[0][1][0])]
+            elif op is sre.ANY:
+                part = ["x"]
+            elif op is sre.SUBPATTERN:
+                part = ways(arg[3], most)
+            elif op is sre.BRANCH:
+                part = list(itertools.chain(*(ways(x, most) for x in arg[1])))
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+                n = max(arg[0], min(arg[1], 1) if most else 0)
+                part = ["".join(x) for x in itertools.product(ways(arg[2], most), repeat=n)]
+            else:
+                assert op is sre.ASSERT, op
+                part = [" "]
+            out = [x + y for x in out for y in part][:200]
+        return out
+
+    return ways(parser.parse(pattern), False) + ways(parser.parse(pattern), True)
+
+
+def test_rules_are_many_and_every_match_holds_its_keyword():
+    assert len(licenses.NOTICES) + len(licenses.NAMES) >= 270
     for key, of in licenses.families().items():
         for _, _, x in of:
-            # the shortest text of an expression: without what is optional
-            plain = re.sub(r"\(\?= \)", "", x)
-            while (less := re.sub(r"\((?:\?:)?[^()]*\)\?", "", plain)) != plain:
-                plain = less
-            plain = re.sub(r" \?|.\?(?![:=])", "", plain)
-            choices = [m.split("|") for m in re.findall(r"\(\?:([^()]*)\)", plain)]
-            shape = re.sub(r"\(\?:[^()]*\)", "\0", plain)
-            for pick in itertools.product(*choices):
-                it = iter(pick)
-                text = re.sub("\0", lambda _: next(it), shape).replace("[sc]", "s").replace("[sz]", "s")
-                if "(" in text or "[" in text or "{" in text:
-                    continue
-                assert any(r in text for r in licenses.ROOTS), text
-                assert key in text, (key, text)
+            for text in samples(x):
+                assert re.match(x, text) and key in text, (key, text)
+
+
+def test_every_notice_is_found(spark):
+    texts = [(label, samples(f" {x}(?= )")[0]) for label, _, _, x in licenses.NOTICES]
+    got = {r.doc_id: r for r in licenses.license_detections(documents(spark, [f"So: {t}. And" for _, t in texts])).collect()}
+    for k, (_, text) in enumerate(texts):
+        want = spans(brute(f"So: {text}. And")[-1])
+        assert [tuple(d) for d in got[k].detections] == want and want, text
 
 
 def test_no_python_in_the_plan(spark, sf):
