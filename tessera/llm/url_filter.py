@@ -6,7 +6,8 @@ with its path, so a URL's candidate keys are its host's suffixes with its path's
 The first filter holds the listed keys, the second those other keys of the corpus that the first lets pass, the third
 the listed keys that the second lets pass, and so on until none is left. For every key of the corpus the first filter
 that does not hold it tells exactly whether it is listed, so URLs are judged without a join. A cascade's size follows
-the listed keys; it is broadcast only up to ``MOST_BITS``, and beyond that keys are looked up by a shuffled join.
+the listed keys. It is broadcast, so no cascade is larger than about ``MOST_BITS``: longer lists are parted by a hash of
+the key, with a cascade for each part, and the URLs go past one part after the other.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import Scratch, ascii_lower, checkpointed, read, small_side, text_of
 
-#: 32 MB for all filters of a cascade.
+#: 32 MB for the filters of a cascade.
 MOST_BITS = 1 << 28
 _CHUNK = 1 << 16
 
 #: Rules of the query (fixed values): key and verdict.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-#: Keys that the method itself blocks where no rule fits.
+#: Keys that the method itself blocks where no rule fits: some, and some thousands by a rule.
 LISTED = ["example.net/de/", "example.net/es/1", "example.net/fr/2", "example.com/es/", "example.com/en/9", "m.example.net/en/"]
+LISTED += [f"example.{top}/{lang}/{k}" for top in ("net", "com") for lang in ("de", "en", "es", "fr") for k in range(1000, 10_000, 13)]
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -137,19 +139,26 @@ def _passing(level: Level, k: int):
     return run
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, scratch: Scratch, most_bits: int = MOST_BITS) -> Cascade | None:
-    """Over the distinct keys (h1, h2) of universe; listed: distinct (h1, h2). None if it would be larger than most_bits."""
-    n_listed = listed.count()
-    here = universe.join(small_side(listed.withColumn("in", F.lit(True)), n_listed), ["h1", "h2"], "left")
-    here = scratch.table(here)
+def _bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
+
+
+def build_cascades(universe: DataFrame, listed: DataFrame, scratch: Scratch, most_bits: int = MOST_BITS) -> list[Cascade]:
+    """Over the distinct keys (h1, h2) of universe; listed: distinct (h1, h2). Part k of n has the keys with pmod(h2, n) = k."""
+    here = scratch.table(universe.join(small_side(listed.withColumn("in", F.lit(True)), listed.count()), ["h1", "h2"], "left"))
+    r, s = here.agg(F.count("in"), F.sum(F.isnull("in").cast("long"))).first()
+    rate = min(0.5, max(r, 1) / max(s or 0, 1) * math.sqrt(0.5))
+    # the levels after the first halve what the one before them holds
+    n = max(1, math.ceil((_bits(r, rate) + 4 * r) / most_bits)) if r else 1
+    return [_build_part(here.where(F.pmod("h2", F.lit(n)) == k), scratch) for k in range(n)]
+
+
+def _build_part(here: DataFrame, scratch: Scratch) -> Cascade:
     inside, outside = here.where("in").select("h1", "h2"), here.where("in IS NULL").select("h1", "h2")
     r, s = inside.count(), outside.count()
     levels: list[Level] = []
-    total, n, rate = 0, r, min(0.5, max(r, 1) / max(s, 1) * math.sqrt(0.5))
+    n, rate = r, min(0.5, max(r, 1) / max(s, 1) * math.sqrt(0.5))
     while n:
-        total += max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-        if total > most_bits:
-            return None
         k = len(levels)
         levels.append(build_level(inside, k, n, rate))
         passed = scratch.table(outside.mapInArrow(_passing(levels[k], k), "h1 long, h2 long"))
@@ -157,34 +166,41 @@ def build_cascade(universe: DataFrame, listed: DataFrame, scratch: Scratch, most
     return Cascade(levels)
 
 
-def _judge(cascades):
+VERDICTS = {"allow": "allowed", "block": "blocked", "own": "listed"}
+JUDGED = "page_id long, host string, path string, keys array<string>, h1 array<long>, h2 array<long>, allowed int, blocked int, listed int"
+
+
+def _judge(cascades: dict, part: int, parts: dict[str, int]):
+    """Sets allowed, blocked and listed to the place of a row's first key that the part holds, if it stands before what other parts found."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = [c.value for c in cascades]
         for batch in batches:
-            keys, one, two = batch.column(3), batch.column(4), batch.column(5)
-            ends = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            flat, h1, h2 = keys.flatten(), _unsigned(one.flatten()), _unsigned(two.flatten())
-            out = []
-            for c in of:
-                at = np.flatnonzero(c.listed(h1, h2)) if len(h1) else np.empty(0, np.int64)
+            cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            ends = np.concatenate([[0], np.cumsum(cols["keys"].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            h1, h2 = _unsigned(cols["h1"].flatten()), _unsigned(cols["h2"].flatten())
+            for name, cascade in cascades.items():
+                mine = np.flatnonzero(np.mod(h2.view(np.int64), parts[name]) == part)
+                at = mine[cascade.value.listed(h1[mine], h2[mine])]
                 first = np.searchsorted(at, ends[:-1])
-                found = [at[f] if f < len(at) and at[f] < e else None for f, e in zip(first, ends[1:], strict=True)]
-                out.append(flat.take(pa.array(found, pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *out], names=["page_id", "host", "path", "allowed", "blocked", "own"])
+                found = np.full(len(ends) - 1, np.iinfo(np.int32).max, np.int64)
+                some = first < len(at)
+                some[some] = at[first[some]] < ends[1:][some]
+                found[some] = at[first[some]] - ends[:-1][some]
+                before = cols[name].fill_null(np.iinfo(np.int32).max).to_numpy(zero_copy_only=False)
+                best = np.minimum(found, before)
+                cols[name] = pa.array(best, pa.int32(), mask=best == np.iinfo(np.int32).max)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
-JUDGED = "page_id long, host string, path string, allowed string, blocked string, own string"
-
-
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages (page_id, url).
 
     rules: key (host/path), verdict (allow or block); the longest key that fits decides, of equally long ones that of the
-    longer host. Where none fits, rule is null and the verdict is block if a key of listed (key) fits, else allow. A null
-    url, or one without ://, has an empty host and path, which nothing fits. Keys without a / fit nothing. Repeated rows
-    are judged each; an empty table gives no rows; other columns are ignored.
+    longer host, and of a key with both verdicts block. Where none fits, rule is null and the verdict is block if a key of
+    listed (key) fits, else allow. A null url, or one without ://, has an empty host and path, which nothing fits. Keys
+    without a / fit nothing. Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     with Scratch(spark, "urls") as scratch:
@@ -195,24 +211,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, most_bits:
         rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url")).select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
         rows = scratch.table(rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths or [1])))
         universe = scratch.table(rows.select(F.explode("keys").alias("key")).select(*[h.alias(n) for h, n in zip(_hashes(F.col("key")), ("h1", "h2"), strict=True)]).distinct())
-        built = [build_cascade(universe, keys.where(F.col("verdict") == v).select("h1", "h2"), scratch, most_bits) for v in ("allow", "block", "own")]
-        if all(c is not None for c in built):
-            hashed = rows.withColumns({"h1": F.transform("keys", lambda k: F.xxhash64(k)), "h2": F.transform("keys", lambda k: F.xxhash64(F.lit(1), k))})
-            found = hashed.mapInArrow(_judge([spark.sparkContext.broadcast(c) for c in built]), JUDGED)
-        else:
-            found = _judge_by_join(rows, keys)
-        longer = F.when(F.col("blocked").isNull(), F.lit(True)).when(F.col("allowed").isNull(), F.lit(False)).otherwise(F.struct(F.length("allowed"), F.instr("allowed", "/")) >= F.struct(F.length("blocked"), F.instr("blocked", "/")))
-        rule = F.when(F.coalesce("allowed", "blocked").isNull(), F.lit(None)).when(longer, F.col("allowed")).otherwise(F.col("blocked"))
-        verdict = F.when(F.coalesce("allowed", "blocked").isNull(), F.when(F.col("own").isNull(), "allow").otherwise("block")).when(longer, "allow").otherwise("block")
-        return checkpointed(found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict")))
-
-
-def _judge_by_join(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The same without filters, for lists above the size that is broadcast."""
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    hits = rows.select("row", F.posexplode("keys").alias("at", "key")).join(keys.select("key", "verdict"), "key")
-    best_of = hits.groupBy("row").agg(*[F.min_by(F.when(F.col("verdict") == v, F.col("key")), F.when(F.col("verdict") == v, F.col("at"))).alias(n) for v, n in (("allow", "allowed"), ("block", "blocked"), ("own", "own"))])
-    return rows.join(best_of, "row", "left").select("page_id", "host", "path", "allowed", "blocked", "own")
+        built = {name: build_cascades(universe, keys.where(F.col("verdict") == v).select("h1", "h2"), scratch, most_bits) for v, name in VERDICTS.items()}
+        none = [F.lit(None).cast("int").alias(name) for name in VERDICTS.values()]
+        found = rows.select("page_id", "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("h1"), F.transform("keys", lambda k: F.xxhash64(F.lit(1), k)).alias("h2"), *none)
+        parts = {name: len(x) for name, x in built.items()}
+        for part in range(max(parts.values())):
+            if part:
+                found = scratch.table(found)
+            found = found.mapInArrow(_judge({name: spark.sparkContext.broadcast(x[part]) for name, x in built.items() if part < len(x)}, part, parts), JUDGED)
+        # keys stand longest first, then by the longer host
+        ruled, blocks = F.least("allowed", "blocked"), F.coalesce(F.col("blocked") <= F.col("allowed"), F.col("blocked").isNotNull())
+        verdict = F.when(ruled.isNotNull(), F.when(blocks, "block").otherwise("allow")).otherwise(F.when(F.col("listed").isNotNull(), "block").otherwise("allow"))
+        return checkpointed(found.select("page_id", "host", "path", F.get("keys", ruled).alias("rule"), verdict.alias("verdict")))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +235,11 @@ def _values(rows) -> str:
 
 
 SQL = f"""
-WITH k(key, verdict) AS (VALUES {_values([*RULES, *((x, 'own') for x in LISTED)])}),
+WITH k(key, verdict) AS (
+  VALUES {_values([*RULES, *((x, 'own') for x in LISTED[:6])])}
+  UNION ALL SELECT 'example.' || top || '/' || lang || '/' || n, 'own'
+  FROM (VALUES ('net'), ('com')) a(top), (VALUES ('de'), ('en'), ('es'), ('fr')) b(lang), range(1000, 10000, 13) c(n)
+),
 r AS (SELECT verdict, key, split_part(key, '/', 1) AS kh, substr(key, instr(key, '/')) AS kp FROM k),
 u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),

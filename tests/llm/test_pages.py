@@ -74,10 +74,10 @@ def brute_url(url, rules, own):
     return host, path, rule, rules[rule] if rule else "block" if fit(own) else "allow"
 
 
-@pytest.mark.parametrize("most_bits", [url_filter.MOST_BITS, 0])
+@pytest.mark.parametrize("most_bits", [url_filter.MOST_BITS, 300])
 def test_url_filter(spark, most_bits):
     rng = random.Random(9)
-    tops, mids, paths = ["org", "com", "net"], ["example", "Example", "x", "m.example"], ["", "/", "/es/", "/en/1", "/en/19/x", "/fr/", "/de/", "/é/", "/es/1?u=/de/", "#/de/"]
+    tops, mids, paths = ["org", "com", "net"], ["example", "Example", "x", "m.example"], ["", "/", "/es/", "/en/1", "/en/19/x", "/fr/", "/de/", "/é/", "/es/1?u=/de/", "#/de/", "/en/1013", "/fr/1026.html", "/es/1039x", "/es/1040x"]
     urls = [None, "", "no scheme", "http://", "https://org/", "x://a://b/", "http://EXAMPLE.ORG/es/", "http://a..org/"]
     urls += [f"http://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice(mids)}.{rng.choice(tops)}{rng.choice(paths)}" for _ in range(400)]
     rules = dict(url_filter.RULES)
@@ -96,9 +96,14 @@ def test_cascade_is_exact_over_its_universe(spark):
 
     keys = spark.range(20_000).select(*[h.alias(n) for h, n in zip(url_filter._hashes(F.col("id").cast("string")), ("h1", "h2"), strict=True)], "id")
     with Scratch(spark, "test") as scratch:
-        cascade = url_filter.build_cascade(keys.select("h1", "h2"), keys.where("id % 7 = 0").select("h1", "h2"), scratch)
+        built = [url_filter.build_cascades(keys.select("h1", "h2"), keys.where("id % 7 = 0").select("h1", "h2"), scratch, bits) for bits in (1 << 20, 10_000)]
     rows = keys.toPandas()
     import numpy as np
 
-    found = cascade.listed(rows["h1"].to_numpy().view(np.uint64), rows["h2"].to_numpy().view(np.uint64))
-    assert (found == (rows["id"] % 7 == 0)).all() and len(cascade.levels) > 2
+    h1, h2 = rows["h1"].to_numpy(), rows["h2"].to_numpy()
+    for parts in built:
+        for k, cascade in enumerate(parts):
+            mine = np.mod(h2, len(parts)) == k
+            found = cascade.listed(h1[mine].view(np.uint64), h2[mine].view(np.uint64))
+            assert (found == (rows["id"][mine] % 7 == 0)).all() and len(cascade.levels) > 2 and sum(x.bits for x in cascade.levels) < (1 << 20, 12_000)[len(parts) > 1]
+    assert [len(x) for x in built] == [1, 3]
