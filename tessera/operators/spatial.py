@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,22 +93,54 @@ def envelope(boxes: DataFrame) -> DataFrame:
     return g.select("job_id", w.alias("width"), h.alias("height"), F.greatest(w, h).alias("max_side"), (w + h).alias("span"), (wide(w) * wide(h)).cast(BIG).alias("area"), "occupied")
 
 
-def components(nodes: DataFrame, edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(job_id, ord, component): smallest ord reachable in the job over edges (job_id, a_ord, b_ord). save cuts the lineage of a round."""
-    both = save(edges.select("job_id", F.col("a_ord").alias("ord"), F.col("b_ord").alias("to")).union(edges.select("job_id", "b_ord", "a_ord")))
-    label = nodes.select("job_id", "ord", F.col("ord").alias("component"))
-    while True:
-        near = both.join(label.select("job_id", F.col("ord").alias("to"), "component"), ["job_id", "to"]).groupBy("job_id", "ord").agg(F.min("component").alias("low"))
-        new = label.join(near, ["job_id", "ord"], "left").select("job_id", "ord", F.least("component", F.coalesce("low", "component")).alias("component"), (F.coalesce("low", "component") < F.col("component")).alias("changed"))
-        new = save(new)
-        label = new.drop("changed")
-        if not new.where("changed").limit(1).count():
-            return label
-
-
-def contact_graph(boxes: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (job_id, a, b) in the order of jobs; a piece's own row has a = b. Holds the pieces of one job at a time."""
+    job, top, out = None, {}, ([], [], [])
+
+    def find(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    def settle():
+        for x in top:
+            out[0].append(job)
+            out[1].append(x)
+            out[2].append(find(x))
+        top.clear()
+
+    def batch():
+        cols = [pa.array(c, pa.int64()) for c in out]
+        for c in out:
+            c.clear()
+        return pa.RecordBatch.from_arrays(cols, names=["job_id", "ord", "component"])
+
+    for rows in batches:
+        for j, a, b in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if j != job:
+                settle()
+                job = j
+            top.setdefault(a, a)
+            top.setdefault(b, b)
+            low, high = sorted((find(a), find(b)))
+            top[high] = low
+        yield batch()
+    settle()
+    yield batch()
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(job_id, ord, component): smallest ord reachable in the job over edges (job_id, a_ord, b_ord). A job is small, jobs are many:
+    each partition takes whole jobs, sorted, one after the other."""
+    rows = nodes.select("job_id", F.col("ord").alias("a"), F.col("ord").alias("b")).unionByName(edges.select("job_id", F.col("a_ord").alias("a"), F.col("b_ord").alias("b")))
+    rows = rows.select(*[F.col(c).cast("long") for c in ("job_id", "a", "b")])
+    return rows.repartition("job_id").sortWithinPartitions("job_id").mapInArrow(_label, "job_id long, ord long, component long")
+
+
+def contact_graph(boxes: DataFrame) -> DataFrame:
     """Per job: components of the contact graph, isolated pieces and the largest component."""
-    label = components(boxes, contacts(boxes), save)
+    label = components(boxes, contacts(boxes))
     size = label.groupBy("job_id", "component").agg(F.count(F.lit(1)).alias("n"))
     return size.groupBy("job_id").agg(F.count(F.lit(1)).alias("components"), F.count_if(F.col("n") == 1).alias("isolated"), F.max("n").alias("largest"))
 

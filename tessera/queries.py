@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import curves, grid
-from tessera.operators import beam, edges, families, geometry, kernels, lattice, ordering, pareto, preflight, relations, report, short_side, spatial
+from tessera.operators import beam, edges, families, geometry, kernels, lattice, ordering, pareto, preflight, relations, report, scoring, short_side, spatial
 from tessera.plans.checkpoints import checkpointed
 from tessera.plans.instances import Instances, cte, with_ring
 from tessera.search import jobs
@@ -514,7 +514,7 @@ def structural_contacts(t: Instances) -> DataFrame:
 SELECT job_id, count(*) AS components, count(*) FILTER (WHERE n = 1) AS isolated, max(n) AS largest FROM n GROUP BY job_id"""
 )
 def contact_components(t: Instances) -> DataFrame:
-    return spatial.contact_graph(t.layout.select("job_id", "ord", "piece_id", "x", "y", "w", "h"), checkpointed)
+    return spatial.contact_graph(t.layout.select("job_id", "ord", "piece_id", "x", "y", "w", "h"))
 
 
 @query(cte("layout") + "SELECT job_id, width, height, greatest(width, height) AS max_side, width + height AS span, CAST(width::HUGEINT * height AS VARCHAR) AS area, occupied FROM (SELECT job_id, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height, CAST(sum(w * h) AS VARCHAR) AS occupied FROM layout GROUP BY job_id)")
@@ -935,3 +935,132 @@ def request_encoding(t: Instances) -> DataFrame:
     back = text.select("job_id", F.from_json("request", requests.REQUEST).alias("r"))
     n = F.aggregate(F.transform("r.sourcePieces", lambda s: F.size(s["geometry"]["segments"])), F.lit(0), lambda s, x: s + x)
     return back.select("job_id", F.size("r.pieces").cast("long").alias("pieces"), F.size("r.sourcePieces").cast("long").alias("sources"), n.cast("long").alias("segments"))
+
+
+# --- metrics and selections of states ----------------------------------------------------------------------------
+
+
+@query(
+    cte("inst")
+    + """, s AS (SELECT job_id, bool_or(qty % 10 = 3) AS overlap, bool_or(qty % 10 = 9) AS missing FROM inst GROUP BY job_id)
+SELECT job_id, CASE WHEN overlap THEN 'frozen and remaining ids overlap' WHEN missing THEN 'ids do not cover the pieces' END AS problem FROM s"""
+)
+def seed_partition_check(t: Instances) -> DataFrame:
+    rows = t.inst.withColumn("id", F.col("ord"))
+    return scoring.seed_partition(rows, rows.where("qty % 2 = 1 AND qty % 10 <> 9"), rows.where("qty % 2 = 0 OR qty % 10 = 3"))
+
+
+@query(
+    cte("endpoint")
+    + """, f AS (SELECT * FROM endpoint a WHERE NOT EXISTS (SELECT 1 FROM endpoint b WHERE a.job_id = b.job_id AND b.component_count <= a.component_count AND b.isolated <= a.isolated AND b.max_side <= a.max_side AND b.area <= a.area AND (b.component_count < a.component_count OR b.isolated < a.isolated OR b.max_side < a.max_side OR b.area < a.area)))
+SELECT job_id, endpoint_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY component_count, isolated, largest DESC, max_side, area, span, endpoint_id) AS BIGINT) AS rank FROM f QUALIFY rank <= 4"""
+)
+def seed_rank_front(t: Instances) -> DataFrame:
+    order = [F.asc("component_count"), F.asc("isolated"), F.desc("largest"), F.asc("max_side"), F.asc("area"), F.asc("span"), F.asc("endpoint_id")]
+    return scoring.ranked_seed_front(t.endpoint, order, ["component_count", "isolated", "max_side", "area"], 4).select("job_id", "endpoint_id", "rank")
+
+
+@query(
+    cte("layout")
+    + """, r AS (SELECT job_id, CAST(w AS DOUBLE) / 1000 * (CAST(h AS DOUBLE) / 1000) AS area, 2 * (CAST(w AS DOUBLE) / 1000 + CAST(h AS DOUBLE) / 1000) AS perimeter, qty % 3 AS n, CAST(w AS DOUBLE) / 4000 AS s, kind = 2 AND qty % 50 = 0 AS whole FROM layout),
+m AS (SELECT job_id, area - CASE WHEN whole THEN area ELSE n * 4 END AS net, perimeter + CASE WHEN whole THEN perimeter ELSE n * 8 END AS around, CASE WHEN whole THEN 1 ELSE n END AS n FROM r)
+SELECT job_id, CASE WHEN ok THEN round(largest, 6) END AS largest_net_area, CASE WHEN ok THEN regions END AS regions, CASE WHEN ok THEN holes END AS holes, CASE WHEN ok THEN round(sliver, 4) END AS sliver
+FROM (SELECT job_id, bool_and(net > 0) AS ok, max(net) AS largest, count(*) AS regions, CAST(sum(n) AS BIGINT) AS holes, sum(around * around / nullif(net, 0)) AS sliver FROM m GROUP BY job_id)"""
+)
+def free_material_metrics(t: Instances) -> DataFrame:
+    w, h, n = F.col("w") / 1000, F.col("h") / 1000, (F.col("qty") % 3).cast("int")
+    whole = (F.col("kind") == 2) & (F.col("qty") % 50 == 0)
+    holes = lambda all_, one: F.when(whole, F.array(all_)).otherwise(F.array_repeat(F.lit(one), n))
+    regions = t.layout.select("job_id", (w * h).alias("area"), (2 * (w + h)).alias("perimeter"), holes(w * h, 4.0).alias("hole_areas"), holes(2 * (w + h), 8.0).alias("hole_perimeters"))
+    m = scoring.free_material_metrics(regions)
+    return m.withColumn("largest_net_area", F.round("largest_net_area", 6)).withColumn("sliver", F.round("sliver", 4))
+
+
+@query(
+    cte("layout")
+    + """, e AS (SELECT job_id, (max(x + w) - min(x)) / 1000.0::DOUBLE * ((max(y + h) - min(y)) / 1000.0::DOUBLE) AS hull, sum(w / 1000.0::DOUBLE * (h / 1000.0::DOUBLE)) AS occupied FROM layout GROUP BY job_id)
+SELECT job_id, round(greatest(0.0, least(1.0, (hull - occupied) / hull)), 9) AS waste_ratio FROM e"""
+)
+def hull_waste_ratio(t: Instances) -> DataFrame:
+    mm = lambda c: c.cast("double") / 1000
+    x, y, w, h = (F.col(c) for c in "xywh")
+    boxes = t.layout.groupBy("job_id").agg((mm(F.max(x + w) - F.min(x)) * mm(F.max(y + h) - F.min(y))).alias("hull"), F.sum(mm(w) * mm(h)).alias("occupied"))
+    return boxes.select("job_id", F.round(scoring.hull_waste(F.col("hull"), F.col("occupied")), 9).alias("waste_ratio"))
+
+
+_STATES = """, st AS (SELECT *, span - max_side AS width, max_side AS height FROM endpoint), ranked AS (
+  SELECT 'area-first' AS mode, job_id, endpoint_id, row_number() OVER (PARTITION BY job_id ORDER BY placed DESC, material // 50000 DESC, cavities, cavity_area // 400, area, greatest(width, height), width + height, hash) AS rank FROM st
+  UNION ALL SELECT 'width-first', job_id, endpoint_id, row_number() OVER (PARTITION BY job_id ORDER BY placed DESC, material // 50000 DESC, cavities, cavity_area // 400, width, height, area, greatest(width, height), width + height, hash) FROM st
+  UNION ALL SELECT 'height-first', job_id, endpoint_id, row_number() OVER (PARTITION BY job_id ORDER BY placed DESC, material // 50000 DESC, cavities, cavity_area // 400, height, width, area, greatest(width, height), width + height, hash) FROM st)"""
+
+
+@query(cte("endpoint") + _STATES + " SELECT mode, job_id, endpoint_id, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 6")
+def axis_beam_retention(t: Instances) -> DataFrame:
+    states = t.endpoint.withColumns({"width": F.col("span") - F.col("max_side"), "height": F.col("max_side"), "material": F.expr("material div 50000"), "cavity_area": F.expr("cavity_area div 400")})
+    out = None
+    for mode in ("area-first", "width-first", "height-first"):
+        part = scoring.axis_beam(states, mode, 6).select(F.lit(mode).alias("mode"), "job_id", "endpoint_id", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    cte("endpoint")
+    + """, a AS (SELECT job_id, endpoint_id, max_side // 100 AS reach, contact, row_number() OVER (PARTITION BY job_id ORDER BY max_side // 100, area, endpoint_id) AS nth FROM endpoint),
+b AS (SELECT *, first_value(reach) OVER (PARTITION BY job_id ORDER BY nth) AS near FROM a)
+SELECT job_id, min_by(endpoint_id, nth) AS baseline, (arg_min(endpoint_id, contact * -100000 + nth) FILTER (WHERE reach = near)) AS winner, count(*) FILTER (WHERE reach = near) AS tied, arg_min(endpoint_id, contact * -100000 + nth) AS most_contact FROM b GROUP BY job_id"""
+)
+def contact_aware_selection(t: Instances) -> DataFrame:
+    rows = t.endpoint.select("job_id", F.col("endpoint_id").alias("candidate_id"), F.expr("max_side div 100").alias("reach"), "contact", "area")
+    order = [F.asc("reach"), F.asc("area"), F.asc("candidate_id")]
+    free = scoring.contact_aware(rows, order, "reach", "contact", contact_first=True).select("job_id", F.col("winner").alias("most_contact"))
+    return scoring.contact_aware(rows, order, "reach", "contact").join(free, "job_id")
+
+
+@query(cte("layout") + "SELECT job_id, ord FROM (SELECT job_id, ord, CAST(kind AS DOUBLE) * CASE WHEN qty % 2 = 0 THEN -1 ELSE 1 END AS px, CAST(qty % 3 AS DOUBLE) / 3 AS py FROM layout) QUALIFY row_number() OVER (PARTITION BY job_id, px + 0.0, py + 0.0 ORDER BY ord) = 1")
+def distinct_points(t: Instances) -> DataFrame:
+    points = t.layout.select("job_id", "ord", (F.col("kind").cast("double") * F.when(F.col("qty") % 2 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))).alias("x"), ((F.col("qty") % 3).cast("double") / 3).alias("y"))
+    return scoring.distinct_points(points, [F.asc("ord")]).select("job_id", "ord")
+
+
+_PREFIX = """, l AS (SELECT job_id, 'a' AS role, ord AS id, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS pos FROM inst
+  UNION ALL SELECT job_id, 'b', ord, row_number() OVER (PARTITION BY job_id ORDER BY (ord + 1) // 2, ord DESC) FROM inst
+  UNION ALL SELECT job_id, 'c', ord, row_number() OVER (PARTITION BY job_id ORDER BY w, ord) FROM inst),
+n AS (SELECT job_id, count(*) AS n FROM inst GROUP BY job_id), d AS (SELECT DISTINCT job_id, unnest([n // 4, n // 2, (3 * n) // 4]) AS depth, n FROM n),
+x AS (SELECT job_id, role, depth FROM l JOIN d USING (job_id) WHERE depth >= 1 AND depth < n AND pos <= depth GROUP BY job_id, role, depth HAVING max(id) = depth)"""
+
+
+@query(cte("inst") + _PREFIX + " SELECT job_id, role, CAST(depth AS BIGINT) AS depth, CAST(row_number() OVER (PARTITION BY job_id ORDER BY CASE role WHEN 'c' THEN 1 WHEN 'a' THEN 2 ELSE 3 END, depth) AS BIGINT) AS rank FROM x QUALIFY rank <= 5")
+def prefix_states(t: Instances) -> DataFrame:
+    from pyspark.sql import Window
+
+    job, rows = Window.partitionBy("job_id"), t.inst.select("job_id", "ord", "w")
+    lineage = None
+    for role, order in (("a", [F.asc("ord")]), ("b", [F.expr("(ord + 1) div 2").asc(), F.desc("ord")]), ("c", [F.asc("w"), F.asc("ord")])):
+        part = rows.select("job_id", F.lit(role).alias("role"), F.col("ord").alias("id"), F.row_number().over(job.orderBy(*order)).cast("long").alias("at"))
+        lineage = part if lineage is None else lineage.unionByName(part)
+    return scoring.prefix_states(lineage, rows.select("job_id", F.col("ord").alias("id"), F.col("ord").alias("at")), ["c", "a", "b"], 5)
+
+
+@query(
+    cte("inst")
+    + """, g AS (SELECT job_id, count(*) FILTER (WHERE qty % 4 > 0) AS placed_count, count(*) FILTER (WHERE qty % 4 = 0) AS unplaced_count, count(*) FILTER (WHERE qty % 4 = 0 OR qty = 47) AS unplaced, sum(w) AS span FROM inst GROUP BY job_id)
+SELECT job_id, placed_count, unplaced_count, CAST(span AS BIGINT) AS span, CASE WHEN unplaced <> unplaced_count THEN 'the score counts other unplaced pieces' END AS problem FROM g"""
+)
+def quality_row(t: Instances) -> DataFrame:
+    rows = t.inst.withColumn("id", F.col("ord"))
+    scores = rows.groupBy("job_id").agg(F.count_if(F.expr("qty % 4 = 0 OR qty = 47")).alias("unplaced"), F.sum("w").alias("span"))
+    return scoring.quality_row(rows, rows.where("qty % 4 > 0"), rows.where("qty % 4 = 0"), scores).select("job_id", "placed_count", "unplaced_count", "span", "problem")
+
+
+@query(cte("endpoint") + "SELECT job_id, endpoint_id, CAST(row_number() OVER w - 1 AS BIGINT) AS sequence, arg_min(endpoint_id, (7 - placed) * 1000000000000 + area * 100000 + endpoint_id % 100000) OVER w AS best FROM endpoint WINDOW w AS (PARTITION BY job_id ORDER BY endpoint_id)")
+def progress_events(t: Instances) -> DataFrame:
+    keys = [(7 - F.col("placed")).alias("unplaced"), F.col("area"), (F.col("endpoint_id") % 100000).alias("nth")]
+    return scoring.progress(t.endpoint, [F.asc("endpoint_id")], keys, "endpoint_id").select("job_id", "endpoint_id", "sequence", "best")
+
+
+@query(cte("layout") + "SELECT a.job_id, a.ord AS query_id, b.ord AS bound_id FROM layout a JOIN layout b ON a.job_id = b.job_id AND a.x - 2000 <= b.x + b.w AND b.x <= a.x + 2000")
+def sorted_bounds_lookup(t: Instances) -> DataFrame:
+    queries = t.layout.select("job_id", F.col("ord").alias("query_id"), (F.col("x") - 2000).alias("lo"), (F.col("x") + 2000).alias("hi"))
+    bounds = t.layout.select("job_id", F.col("ord").alias("bound_id"), F.col("x").alias("lo"), (F.col("x") + F.col("w")).alias("hi"))
+    return scoring.sorted_bounds(queries, bounds, 100_000)
