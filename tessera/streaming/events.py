@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tessera.plans.checkpoints import shared_folder
+
 SEQUENCED = "job_id long, event_id long, kind string, ordinal long"
 _STATE = "next long"
 
@@ -48,8 +49,7 @@ def stream(spark: SparkSession, folder: str, table: str, schema: StructType) ->
 
 def run_once(spark: SparkSession, query: DataFrame) -> DataFrame:
     """All that a streaming query gives for the input of now, as a table in the shared folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-stream-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     running = query.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(query.schema).parquet(f"{path}/rows")
