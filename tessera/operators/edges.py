@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.grid import cyclic, indices, wide
 
+#: Side of a cell of the index of edges.
+CELL = 128_000
+
 
 def edges(rings: DataFrame) -> DataFrame:
     """rings: job_id, ord, ring. A row for each edge from (x1, y1) to (x2, y2) with its number and box."""
@@ -17,14 +20,17 @@ def edges(rings: DataFrame) -> DataFrame:
 
 
 def _pairs(one: DataFrame, two: DataFrame, ordered: bool) -> DataFrame:
-    """Edge pairs of different rings of a job whose boxes meet."""
+    """Edge pairs of different rings of a job whose boxes meet: an equi-join on cells, each pair in the cell of the lower left corner of what the boxes share."""
     cols = ["ord", "edge", "x1", "y1", "x2", "y2", "lx", "hx", "ly", "hy"]
-    a = one.select("job_id", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = two.select("job_id", *[F.col(c).alias(f"b_{c}") for c in cols])
+    at = lambda v: F.floor(v / CELL).cast("long")
+    cells = lambda e: e.withColumn("cx", F.explode(F.sequence(at(F.col("lx")), at(F.col("hx"))))).withColumn("cy", F.explode(F.sequence(at(F.col("ly")), at(F.col("hy")))))
+    a = cells(one).select("job_id", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = cells(two).select("job_id", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in cols])
     c = F.col
     which = c("a_ord") < c("b_ord") if ordered else c("a_ord") != c("b_ord")
     meet = (c("a_lx") <= c("b_hx")) & (c("b_lx") <= c("a_hx")) & (c("a_ly") <= c("b_hy")) & (c("b_ly") <= c("a_hy"))
-    return a.join(b, "job_id").where(which & meet)
+    home = (at(F.greatest("a_lx", "b_lx")) == c("cx")) & (at(F.greatest("a_ly", "b_ly")) == c("cy"))
+    return a.join(b, ["job_id", "cx", "cy"]).where(which & meet & home).drop("cx", "cy")
 
 
 def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

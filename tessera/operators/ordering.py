@@ -45,14 +45,41 @@ def capacity_objective(origin: Column, role: Column, prefix: Column) -> list[Col
     return [F.desc("placed"), F.desc("material"), F.asc("cavities"), F.asc("cavity_area"), F.asc("max_side"), F.asc("area"), F.asc("span"), F.asc("hash"), F.when(origin == "cold-search", 0).otherwise(1).asc(), F.coalesce(prefix, F.lit(-1)).asc(), F.coalesce(role, F.lit("")).asc()]
 
 
+#: Fixed value: layouts of more placed pieces than this are ordered by compactness first.
+STRICT_PLACED = 20
+
+
+def _strict_keys() -> list[tuple[Column, bool]]:
+    """(key, whether it falls) of the strict order behind the unplaced pieces."""
+    down = {"dominant", "structural", "band", "contact_units", "contact"}
+    return [(F.col(c), c in down) for c in ("dominant", "structural", "max_side", "area", "span", "waste_ratio", "band", "contact_units", "contact")]
+
+
+def _scale_keys(band_width: int) -> list[tuple[Column, bool]]:
+    down = {"dominant", "structural", "contact_units", "contact"}
+    keys = [(F.col(c), c in down) for c in ("max_side", "area", "span", "waste_ratio", "dominant", "structural", "contact_units", "contact")]
+    return [*keys[:5], (F.floor(F.col("structural") / band_width), True), *keys[5:]]
+
+
+def _sorted(keys: list[tuple[Column, bool]]) -> list[Column]:
+    return [k.desc() if falls else k.asc() for k, falls in keys]
+
+
 def strict_layout_order(tie: str) -> list[Column]:
     """Structural contact before compactness."""
-    return [F.asc("unplaced"), F.desc("dominant"), F.desc("structural"), F.asc("max_side"), F.asc("area"), F.asc("span"), F.asc("waste_ratio"), F.desc("band"), F.desc("contact_units"), F.desc("contact"), F.asc(tie)]
+    return [F.asc("unplaced"), *_sorted(_strict_keys()), F.asc(tie)]
 
 
 def scale_aware_layout_order(tie: str, band_width: int = 2) -> list[Column]:
     """Compactness before structural contact, which is compared in bands; for layouts of more than twenty pieces."""
-    return [F.asc("unplaced"), F.asc("max_side"), F.asc("area"), F.asc("span"), F.asc("waste_ratio"), F.desc("dominant"), F.floor(F.col("structural") / band_width).desc(), F.desc("structural"), F.desc("contact_units"), F.desc("contact"), F.asc(tie)]
+    return [F.asc("unplaced"), *_sorted(_scale_keys(band_width)), F.asc(tie)]
+
+
+def layout_order(placed: Column, tie: str, band_width: int = 2, limit: int = STRICT_PLACED) -> list[Column]:
+    """The strict order for layouts of up to ``limit`` placed pieces, the scale-aware one for larger ones. Layouts of one job with as many unplaced
+    pieces have as many placed ones, so only one of the two ever decides between them; the other's keys are null."""
+    only = lambda keys, on: [(F.when(on, k), falls) for k, falls in keys]
+    return [F.asc("unplaced"), *_sorted(only(_strict_keys(), placed <= limit)), *_sorted(only(_scale_keys(band_width), placed > limit)), F.asc(tie)]
 
 
 def placement_policies() -> dict[str, list[Column]]:

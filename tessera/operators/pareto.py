@@ -54,7 +54,8 @@ def front(layouts: DataFrame, by: str = "job_id") -> DataFrame:
 
 
 def layers(layouts: DataFrame, save: Callable[[DataFrame], DataFrame], by: str = "job_id", most: int = 10_000) -> DataFrame:
-    """Adds layer: 1 for the front, 2 for the front of the rest, and so on; a round peels the fronts of all groups at once."""
+    """Adds layer: 1 for the front, 2 for the front of the rest, and so on; a round peels the fronts of all groups at once.
+    Rows that are left after ``most`` rounds are an error, never dropped."""
     rest, done, layer = save(layouts), None, 0
     while layer < most:
         layer += 1
@@ -63,7 +64,7 @@ def layers(layouts: DataFrame, save: Callable[[DataFrame], DataFrame], by: str =
         rest = save(rest.join(first.select(by, "endpoint_id"), [by, "endpoint_id"], "left_anti"))
         if not rest.limit(1).count():
             return done
-    return done
+    raise ValueError(f"more than {most} layers")
 
 
 SEED_METRICS = ["components", "isolated", "outside_area", "max_side", "area", "span"]

@@ -164,9 +164,14 @@ def box_no_fit(fixed_w: Column, fixed_h: Column, moving_w: Column, moving_h: Col
     return F.struct((-moving_w).alias("x0"), (-moving_h).alias("y0"), fixed_w.alias("x1"), fixed_h.alias("y1"))
 
 
-def smallest_gap(candidates: DataFrame, gaps: DataFrame) -> DataFrame:
-    """The smallest gap (gap_id, gx, gy, gw, gh) that holds each candidate (candidate_id, x, y, w, h); candidates in none are left out."""
+def smallest_gap(candidates: DataFrame, gaps: DataFrame, cell: int = 4 * CELL) -> DataFrame:
+    """The smallest gap (gap_id, gx, gy, gw, gh) that holds each candidate (candidate_id, x, y, w, h); candidates in none are left out.
+
+    A gap is listed in the cells that it reaches; a candidate is looked up in that of its lower left corner only.
+    """
     c = F.col
     inside = (c("x") >= c("gx")) & (c("y") >= c("gy")) & (c("x") + c("w") <= c("gx") + c("gw")) & (c("y") + c("h") <= c("gy") + c("gh"))
-    hits = candidates.join(gaps, "job_id").where(inside)
+    lo = lambda v: F.floor(v / cell).cast("long")
+    listed = gaps.withColumn("cx", F.explode(F.sequence(lo(c("gx")), lo(c("gx") + c("gw"))))).withColumn("cy", F.explode(F.sequence(lo(c("gy")), lo(c("gy") + c("gh")))))
+    hits = candidates.withColumn("cx", lo(c("x"))).withColumn("cy", lo(c("y"))).join(listed, ["job_id", "cx", "cy"]).where(inside)
     return hits.groupBy("job_id", "candidate_id").agg(F.min_by("gap_id", F.struct(c("gw") * c("gh"), c("gap_id"))).alias("gap_id"))

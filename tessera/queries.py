@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import curves, grid
-from tessera.operators import beam, edges, families, geometry, kernels, lattice, ordering, pareto, preflight, relations, report, scoring, short_side, spatial
+from tessera.operators import beam, edges, families, gates, geometry, kernels, lattice, ordering, pareto, preflight, relations, report, scoring, short_side, spatial, validation
 from tessera.plans.checkpoints import checkpointed
 from tessera.plans.instances import Instances, cte, with_ring
 from tessera.search import jobs
@@ -1064,3 +1064,91 @@ def sorted_bounds_lookup(t: Instances) -> DataFrame:
     queries = t.layout.select("job_id", F.col("ord").alias("query_id"), (F.col("x") - 2000).alias("lo"), (F.col("x") + 2000).alias("hi"))
     bounds = t.layout.select("job_id", F.col("ord").alias("bound_id"), F.col("x").alias("lo"), (F.col("x") + F.col("w")).alias("hi"))
     return scoring.sorted_bounds(queries, bounds, 100_000)
+
+
+# --- whole requests, gates, final order, identity of rings ----------------------------------------------------------
+
+
+def _whole_requests(t: Instances) -> DataFrame:
+    """Requests as JSON from the pieces of a job, with faults by formula, read back with the reader's schema."""
+    c, mm = F.col, lambda v: v.cast("double") / 1000
+    num = lambda v: F.lit(v).cast("double")
+    bad = lambda n, wrong, right: F.when(c("qty") == n, wrong).otherwise(right)
+    fault = lambda n, wrong, right: F.when((c("supp") * 13 + c("qty")) % 40 == n, wrong).otherwise(right)
+    rect = lambda w, h, x=None: F.struct((num(0) if x is None else x).alias("x"), num(0).alias("y"), w.alias("width"), h.alias("height"))
+    piece_id = bad(50, F.lit(" "), bad(44, F.lit("p1"), F.concat(F.lit("p"), c("ord"))))
+    padded = F.struct(num(0).alias("x"), num(0).alias("y"), bad(46, num(0), mm(c("w")) + 10).alias("width"), (mm(c("h")) + 10).alias("height"), mm(F.greatest("w", "h")).alias("longestEdge"), bad(45, num(2.0**54), mm(c("w")) * mm(c("h"))).alias("area"), mm(F.abs(c("w") - c("h"))).alias("imbalance"))
+    piece = F.struct(c("ord"), piece_id.alias("id"), bad(49, F.lit(""), F.concat(F.lit("s"), c("ord"))).alias("sourcePieceId"), rect(mm(c("w")), mm(c("h")), bad(47, num(0.5), num(0))).alias("realBounds"), padded.alias("paddedBounds"), bad(48, num(-1), num(10)).alias("padding"))
+    curve = F.struct(F.lit("ellipse").alias("kind"), F.lit("e").alias("sourceId"), num(0).alias("cx"), num(0).alias("cy"), fault(6, num(0), num(5)).alias("majorAxisX"), num(0).alias("majorAxisY"), fault(10, num(-1), num(0.5)).alias("axisRatio"), num(0).alias("startAngle"), num(3).alias("endAngle"))
+    ends = [num(v).alias(n) for n, v in (("x1", 0), ("y1", 0), ("x2", 10), ("y2", 0))]
+    of_arc = [("cx", num(5)), ("cy", num(0)), ("radius", fault(9, num(0), num(5))), ("startAngle", num(0)), ("endAngle", num(180))]
+    line = F.struct(F.lit("line").alias("kind"), *ends, *[F.lit(None).cast("double").alias(n) for n, _ in of_arc], curve.alias("sourceCurve"))
+    arc = F.struct(F.lit("arc").alias("kind"), *ends, *[v.alias(n) for n, v in of_arc], F.lit(None).cast(curve_type := "struct<kind:string,sourceId:string,cx:double,cy:double,majorAxisX:double,majorAxisY:double,axisRatio:double,startAngle:double,endAngle:double>").alias("sourceCurve"))
+    line = line.withField("sourceCurve", curve.cast(curve_type))
+    geometry = F.struct(F.lit("LINE").alias("entityType"), F.lit(True).alias("closed"), F.array(line, arc).alias("segments"))
+    source = F.struct(c("ord"), F.concat(F.lit("s"), c("ord")).alias("id"), fault(7, F.lit(""), F.lit("f")).alias("sourceFileId"), rect(mm(c("w")), fault(8, num(0), mm(c("h")))).alias("realBounds"), geometry.alias("geometry"))
+    lists = t.inst.groupBy("job_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.array_sort(F.collect_list(source)).alias("sourcePieces"))
+    at = lambda n, wrong, right: F.when(c("job_id") % n == 0, wrong).otherwise(right)
+    tolerances = F.struct(num(0.25).alias("flatteningSagToleranceMm"), at(31, num(0.1), num(0.25)).alias("clearanceSafetyMarginMm"), F.lit("b").alias("geometryBackendId"), F.lit("0").alias("geometryBackendVersion"))
+    optimizer = F.struct(*[num(v).alias(n) for n, v in (("orderWindow", 4), ("beamWidth", 8), ("gaPopulation", 12), ("gaTimeBudgetMs", 0))], at(37, num(0), num(8)).alias("transformCap"), at(41, F.lit(""), F.lit("x")).alias("gaSeed"), at(43, F.array(F.lit("balanced-compactness"), F.lit("balanced-compactness")), F.array(F.lit("balanced-compactness"))).alias("placementPolicyIds"))
+    settings = F.struct(at(29, num(0.5), num(10)).alias("padding"), tolerances.alias("geometry"), optimizer.alias("optimizer"))
+    body = F.struct(F.lit(1).alias("version"), num(1000).alias("timeoutMs"), F.struct(num(100).alias("width"), num(100).alias("height")).alias("sheet"), "pieces", "sourcePieces", settings.alias("settings"))
+    return lists.select("job_id", F.from_json(F.to_json(body), requests.REQUEST).alias("r")).select("job_id", "r.*")
+
+
+@query(
+    cte("inst")
+    + """, p AS (SELECT job_id, min_by('pieces[' || (ord - 1) || '].' || f, ord) AS path FROM (SELECT job_id, ord, CASE qty WHEN 50 THEN 'id' WHEN 49 THEN 'sourcePieceId' WHEN 48 THEN 'padding' WHEN 47 THEN 'realBounds.x' WHEN 46 THEN 'paddedBounds.width' WHEN 45 THEN 'paddedBounds.area' WHEN 44 THEN CASE WHEN ord > 1 THEN 'id' END END AS f FROM inst) WHERE f IS NOT NULL GROUP BY job_id),
+s AS (SELECT job_id, min_by('sourcePieces[' || (ord - 1) || '].' || f, ord) AS path FROM (SELECT job_id, ord, CASE (supp * 13 + qty) % 40 WHEN 7 THEN 'sourceFileId' WHEN 8 THEN 'realBounds.height' WHEN 9 THEN 'geometry.segments[1].radius' WHEN 10 THEN 'geometry.segments[0].sourceCurve.axisRatio' WHEN 6 THEN 'geometry.segments[0].sourceCurve.majorAxis' END AS f FROM inst) WHERE f IS NOT NULL GROUP BY job_id)
+SELECT j.job_id, coalesce(p.path, s.path, CASE WHEN j.job_id % 29 = 0 THEN 'settings.padding' WHEN j.job_id % 31 = 0 THEN 'settings.geometry.clearanceSafetyMarginMm' WHEN j.job_id % 37 = 0 THEN 'settings.optimizer.transformCap' WHEN j.job_id % 41 = 0 THEN 'settings.optimizer.gaSeed' WHEN j.job_id % 43 = 0 THEN 'settings.optimizer.placementPolicyIds' END) AS invalid_path
+FROM (SELECT DISTINCT job_id FROM inst) j LEFT JOIN p ON j.job_id = p.job_id LEFT JOIN s ON j.job_id = s.job_id"""
+)
+def whole_request_validation(t: Instances) -> DataFrame:
+    return validation.invalid_path(_whole_requests(t)).select("job_id", "invalid_path")
+
+
+@query(
+    cte("endpoint")
+    + """, r AS (SELECT job_id, placed % 2 = 0 AS direct, CASE WHEN cavities = 3 THEN 'evaluation-cap' WHEN cavity_area % 97 = 0 THEN 'aborted' ELSE 'completed' END AS status, isolated <> 4 OR cavity_area % 3 > 0 AS ended, largest = largest - (CASE WHEN gap % 13 = 0 THEN 1 ELSE 0 END) AS spent FROM endpoint),
+a AS (SELECT job_id, coalesce(bool_and(status = 'completed' AND spent) FILTER (WHERE direct), true) AS s, coalesce(bool_and(status = 'completed' AND ended) FILTER (WHERE direct), true) AS e, coalesce(bool_and(status IN ('completed', 'evaluation-cap')) FILTER (WHERE NOT direct), true) AS p, count(*) FILTER (WHERE NOT direct) AS n FROM r GROUP BY job_id),
+f AS (SELECT job_id, count(*) AS families, bool_and(waste % 11 > 0 OR isolated > 0) AS covered FROM endpoint WHERE job_id % 4 > 0 GROUP BY job_id),
+k AS (SELECT a.*, coalesce(families, 0) AS families, coalesce(covered, true) AS covered, a.job_id % 13 > 0 AS runtime, a.job_id % 8 > 0 AS fam, n - CASE WHEN a.job_id % 17 = 0 THEN 1 ELSE 0 END AS selected, a.job_id % 3 > 0 AS cont, a.job_id % 19 > 0 AS settled FROM a LEFT JOIN f ON a.job_id = f.job_id),
+v AS (SELECT *, runtime AND (families > 0 OR fam) AND covered AS catalog_valid, runtime AND settled AND selected <= 8 AND n = selected AND (cont OR selected = 8) AS selection_valid FROM k)
+SELECT job_id, catalog_valid, selection_valid, selection_valid AND s AND p AS experiment_valid, e AND catalog_valid AND (families = 0 OR selection_valid) AND p AS production_valid FROM v"""
+)
+def archive_gates(t: Instances) -> DataFrame:
+    c, e = F.col, t.endpoint
+    status = F.when(c("cavities") == 3, "evaluation-cap").when(c("cavity_area") % 97 == 0, "aborted").otherwise("completed")
+    runs = e.select("job_id", F.when(c("placed") % 2 == 0, "direct").otherwise("periodic").alias("kind"), status.alias("status"), ((c("isolated") != 4) | (c("cavity_area") % 3 > 0)).alias("has_endpoint"), c("largest").alias("requested"), (c("largest") - F.when(c("gap") % 13 == 0, 1).otherwise(0)).alias("consumed"))
+    n = F.count_if(c("placed") % 2 != 0)
+    job = c("job_id")
+    catalog = e.groupBy("job_id").agg((n - F.when(job % 17 == 0, 1).otherwise(0)).alias("selected")).withColumns({"runtime_complete": job % 13 > 0, "family_complete": job % 8 > 0, "continuation_complete": job % 3 > 0, "settled": job % 19 > 0})
+    families_ = e.where(job % 4 > 0).select("job_id", c("endpoint_id").alias("family"), (c("waste") % 11 > 0).alias("cells_complete"), (c("isolated") > 0).alias("audited"))
+    return gates.archive_gates(runs, catalog, families_)
+
+
+@query(
+    cte("endpoint")
+    + """, e AS (SELECT *, placed * 10 AS n FROM endpoint)
+SELECT job_id, endpoint_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY 60 - n, CASE WHEN n <= 20 THEN -dominant END, CASE WHEN n <= 20 THEN -structural END, CASE WHEN n > 20 THEN max_side END, CASE WHEN n > 20 THEN area END, CASE WHEN n > 20 THEN span END, CASE WHEN n > 20 THEN waste END,
+  CASE WHEN n <= 20 THEN max_side ELSE -dominant END, CASE WHEN n <= 20 THEN area ELSE -(structural // 2) END, CASE WHEN n <= 20 THEN span ELSE -structural END, CASE WHEN n <= 20 THEN waste END, contact // 10 DESC, contact DESC, endpoint_id) AS BIGINT) AS rank FROM e"""
+)
+def final_layout_order(t: Instances) -> DataFrame:
+    rows = _scores(t).withColumn("placed", (7 - F.col("unplaced")) * 10).withColumn("unplaced", 60 - F.col("placed"))
+    return ordering.ranked(rows, ["job_id"], ordering.layout_order(F.col("placed"), "endpoint_id")).select("job_id", "endpoint_id", "rank")
+
+
+@query(
+    cte("layout")
+    + f""", r AS (SELECT job_id, ord, x, y, {_RING} AS ring FROM layout),
+q AS (SELECT job_id, ord, d, list_transform(ring, lambda p: CASE d WHEN 0 THEN [p[1] + x, p[2] + y] WHEN 1 THEN [-(p[2] + y), p[1] + x] WHEN 2 THEN [-(p[1] + x), -(p[2] + y)] ELSE [p[2] + y, -(p[1] + x)] END) AS ring FROM r, (VALUES (0), (1), (2), (3)) AS v(d)),
+b AS (SELECT *, min({_MIN_X}) OVER (PARTITION BY job_id, d) AS mx, min({_MIN_Y}) OVER (PARTITION BY job_id, d) AS my FROM q),
+m AS (SELECT job_id, ord, d, list_transform(ring, lambda p: (p[1] - mx) || ',' || (p[2] - my)) AS ring FROM b),
+i AS (SELECT job_id, ord, d, ring, unnest(generate_series(0, len(ring) - 1)) AS k FROM m),
+g AS (SELECT job_id, ord, d, array_to_string(list_transform(generate_series(0, len(ring) - 1), lambda j: ring[((k + j * way) % len(ring) + len(ring)) % len(ring) + 1]), ';') AS reading FROM i, (VALUES (1), (-1)) AS w(way)),
+t AS (SELECT job_id, d, ord, min(reading) AS txt FROM g GROUP BY job_id, d, ord),
+l AS (SELECT job_id, d, string_agg(txt, '|' ORDER BY txt) AS txt FROM t GROUP BY job_id, d)
+SELECT job_id, sha256(min(txt)) AS layout_hash FROM l GROUP BY job_id"""
+)
+def ring_layout_identity(t: Instances) -> DataFrame:
+    return geometry.ring_layout_identity(_placed_rings(t))

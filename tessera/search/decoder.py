@@ -13,7 +13,7 @@ from fractions import Fraction
 import numpy as np
 
 from tessera.kernels import convex
-from tessera.kernels.regions import regions
+from tessera.kernels.regions import region_at, regions
 
 _AROUND = np.array(sorted(((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)), key=lambda p: (p[0] ** 2 + p[1] ** 2, p)), dtype=np.int64)
 
@@ -145,11 +145,35 @@ class Search:
         b = convex.bounds(ring)
         return sum(convex.contact_length(ring, r) for r in layout.rings if (o := convex.bounds(r)) and o[0] <= b[2] and b[0] <= o[2] and o[1] <= b[3] and b[1] <= o[3])
 
+    @staticmethod
+    def in_hull(layout: Layout, shape: Shape, found: list[tuple]) -> list[tuple]:
+        """Candidates wholly inside the hull of what is placed: as they share no area with it, each lies in one gap."""
+        if not layout.rings:
+            return []
+        outer = np.array(convex.hull([p for r in layout.rings for p in r]), dtype=np.int64)
+        way = np.roll(outer, -1, axis=0) - outer
+        out = []
+        for turn, (_, _, ring) in enumerate(shape.turns):
+            here = [c for c in found if c[3] == turn]
+            if not here:
+                continue
+            r = np.array(ring, dtype=np.int64)
+            # of each side, the corner of the ring that goes farthest out
+            out_most = (way[:, None, 0] * r[None, :, 1] - way[:, None, 1] * r[None, :, 0]).min(axis=1)
+            spots = np.array([(c[5], c[4]) for c in here], dtype=np.int64)
+            side = way[None, :, 0] * (spots[:, None, 1] - outer[None, :, 1]) - way[None, :, 1] * (spots[:, None, 0] - outer[None, :, 0])
+            out += [here[k] for k in np.flatnonzero((side + out_most[None, :] >= 0).all(axis=1))]
+        return out
+
     def best(self, layout: Layout, shapes: dict[str, Shape], shape: Shape, role: str, sheet: tuple[int, int] | None = None) -> tuple | None:
-        """pure-growth: max side, area, span, contact. area-first: area, max side, span, contact. contact-band: most contact among those with the leader's max side and an area within 2% of the piece's own. strip: least height, then width."""
+        """pure-growth: max side, area, span, contact. area-first: area, max side, span, contact. contact-band: most contact among those with the leader's max side and an area within 2% of the piece's own.
+        gap-contained: smallest gap of the hull that holds the piece, then contact, then as pure-growth, which decides where no gap does. strip: least height, then width."""
         found = self.scored(layout, shapes, shape, sheet, role == "strip")
         if not found:
             return None
+        if role == "gap-contained" and (held := self.in_hull(layout, shape, found)):
+            outer = convex.hull([p for r in layout.rings for p in r])
+            return min(held, key=lambda c: (region_at(outer, layout.rings, *_centre(shape.turns[c[3]][2], c[5], c[4])), -round(self.contact(layout, shape, c)), c))
         envelope = (lambda c: (c[1], c[0], c[2])) if role == "area-first" else (lambda c: c[:3])
         leader = min(map(envelope, found))
         if role == "contact-band":
@@ -170,6 +194,12 @@ class Search:
         return layout
 
 
+def _centre(ring, x: int, y: int) -> tuple[Fraction, Fraction]:
+    """Mean of the corners: inside a convex ring."""
+    n = len(ring)
+    return x + Fraction(sum(p[0] for p in ring), n), y + Fraction(sum(p[1] for p in ring), n)
+
+
 def _crossings(lines: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Crossings of line segments of different owners, rounded to the grid."""
     i, j = np.triu_indices(len(lines), 1)

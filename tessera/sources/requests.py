@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fields of requests and their types.
 RECT = "STRUCT<x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE>"
 PADDED = "STRUCT<x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, longestEdge DOUBLE, area DOUBLE, imbalance DOUBLE>"
 CURVE = "STRUCT<kind STRING, sourceId STRING, cx DOUBLE, cy DOUBLE, majorAxisX DOUBLE, majorAxisY DOUBLE, axisRatio DOUBLE, startAngle DOUBLE, endAngle DOUBLE>"
 SEGMENT = f"STRUCT<kind STRING, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, bulge DOUBLE, cx DOUBLE, cy DOUBLE, radius DOUBLE, startAngle DOUBLE, endAngle DOUBLE, sourceCurve {CURVE}>"
 PIECES = f"ARRAY<STRUCT<id STRING, sourcePieceId STRING, interchangeabilityKey STRING, realBounds {RECT}, paddedBounds {PADDED}, padding DOUBLE, allowRotation BOOLEAN, allowMirror BOOLEAN>>"
 SOURCES = f"ARRAY<STRUCT<id STRING, sourceFileId STRING, sourceLayer STRING, label STRING, realBounds {RECT}, geometry STRUCT<entityType STRING, closed BOOLEAN, segments ARRAY<{SEGMENT}>>>>"
-GEOMETRY = "STRUCT<flatteningSagToleranceMm DOUBLE, clearanceSafetyMarginMm DOUBLE>"
-OPTIMIZER = "STRUCT<beamWidth DOUBLE, transformCap DOUBLE, configuredRotationDeg ARRAY<DOUBLE>, gaEnabled BOOLEAN, baselineOnly BOOLEAN, intrinsicSharedArchiveEnabled BOOLEAN, placementPolicyId STRING, placementPolicyIds ARRAY<STRING>>"
+GEOMETRY = "STRUCT<flatteningSagToleranceMm DOUBLE, clearanceSafetyMarginMm DOUBLE, geometryBackendId STRING, geometryBackendVersion STRING>"
+OPTIMIZER = (
+    "STRUCT<orderWindow DOUBLE, beamWidth DOUBLE, localCandidateFanout DOUBLE, localRepairBudget DOUBLE, transformCap DOUBLE, transformMinimumEdgeLengthMm DOUBLE, transformAngleDeduplicationToleranceDeg DOUBLE, configuredRotationDeg ARRAY<DOUBLE>, "
+    "gaEnabled BOOLEAN, baselineOnly BOOLEAN, gaPopulation DOUBLE, gaGenerationBudget DOUBLE, gaEvaluationBudget DOUBLE, gaTimeBudgetMs DOUBLE, gaSeed STRING, intrinsicSharedArchiveEnabled BOOLEAN, placementPolicyId STRING, placementPolicyIds ARRAY<STRING>>"
+)
 REQUEST = f"version INT, timeoutMs DOUBLE, profile STRING, sheet STRUCT<width DOUBLE, height DOUBLE, label STRING>, pieces {PIECES}, sourcePieces {SOURCES}, settings STRUCT<padding DOUBLE, allowGlobalRotation BOOLEAN, allowGlobalMirror BOOLEAN, geometry {GEOMETRY}, optimizer {OPTIMIZER}>, historyMode STRING, diagnosticTraceMode STRING"
 DESKTOP = f"version INT, jobId STRING, sheet STRUCT<width DOUBLE, height DOUBLE, label STRING>, padding DOUBLE, pieces {PIECES}, sourcePieces {SOURCES}, options STRUCT<allowGlobalRotation BOOLEAN, allowGlobalMirror BOOLEAN, timeoutMs DOUBLE, historyMode STRING, diagnosticTraceMode STRING, irregularSettings STRUCT<geometry {GEOMETRY}, optimizer {OPTIMIZER}>>"
 
