@@ -23,7 +23,10 @@ PIECE = f"path string, id string, width double, height double, geometry_key stri
 
 
 class DxfError(ValueError):
-    pass
+    """What is wrong, as ``place: fault``."""
+
+    def __init__(self, place: str, fault: str):
+        super().__init__(f"{place}: {fault}")
 
 
 def group_pairs(text: str) -> list[tuple[int, str]]:
@@ -32,7 +35,7 @@ def group_pairs(text: str) -> list[tuple[int, str]]:
     if lines and not lines[-1]:
         lines.pop()
     if len(lines) % 2:
-        raise DxfError("DXF contains an incomplete group-code pair")
+        raise DxfError("file", "last code has no value")
     out = []
     for code, value in zip(lines[::2], lines[1::2], strict=True):
         if code.lstrip("+-").isdigit() and code.isascii():
@@ -64,7 +67,7 @@ def entities(text: str) -> list[tuple[str, dict[int, str]]]:
             current = (value, body)
             space = _number(body, 67)
             if space not in (None, 0.0, 1.0):
-                raise DxfError("DXF group code 67 must be the model-space or paper-space indicator")
+                raise DxfError("code 67", f"space {body[67]!r} is neither 0 nor 1")
             if space != 1.0:
                 out.append(current)
     return out
@@ -76,9 +79,9 @@ def _number(body: dict[int, str], code: int) -> float | None:
     try:
         value = float(body[code])
     except ValueError:
-        raise DxfError(f"DXF group code {code} is not numeric") from None
+        raise DxfError(f"code {code}", f"{body[code]!r} is no number") from None
     if not math.isfinite(value):
-        raise DxfError(f"DXF group code {code} must be finite")
+        raise DxfError(f"code {code}", "infinite or NaN")
     return value
 
 
@@ -87,7 +90,7 @@ def _numbers(kind: str, body: dict[int, str]) -> list[float]:
     for code in _CODES[kind]:
         value = _number(body, code)
         if value is None:
-            raise DxfError(f"DXF entity is missing required group code {code}")
+            raise DxfError(kind, f"no code {code}")
         out.append(value)
     return out
 
@@ -100,20 +103,20 @@ def parsed(kind: str, body: dict[int, str]) -> dict:
         start, end = _number(body, 41), _number(body, 42)
         e = {"kind": kind, "c": (v[0], v[1]), "m": (v[2], v[3]), "ratio": v[4], "start": 0.0 if start is None else start, "end": math.tau if end is None else end}
         if not math.hypot(*e["m"]) > 0:
-            raise DxfError("ELLIPSE major axis must have positive length")
+            raise DxfError(kind, "major axis of length 0")
         if not e["ratio"] > 0:
-            raise DxfError("ELLIPSE axis ratio must be a positive finite number")
+            raise DxfError(kind, f"axis ratio {e['ratio']}")
         e["sweep"] = e["end"] - e["start"] if e["end"] > e["start"] else e["end"] + math.tau - e["start"]
         if not 0 < e["sweep"] <= math.tau:
-            raise DxfError("ELLIPSE parameter sweep must be within one positive turn")
+            raise DxfError(kind, "sweep beyond one turn")
         return e
     if not v[2] > 0:
-        raise DxfError(f"{kind} radius must be positive")
+        raise DxfError(kind, f"radius {v[2]}")
     if kind == "CIRCLE":
         return {"kind": kind, "c": (v[0], v[1]), "r": v[2]}
     sweep = v[4] - v[3] if v[4] > v[3] else v[4] - v[3] + 360.0
     if not 0 < sweep <= 360.0:
-        raise DxfError("ARC angle sweep must be within one positive turn")
+        raise DxfError(kind, "sweep beyond one turn")
     return {"kind": kind, "c": (v[0], v[1]), "r": v[2], "start": v[3], "end": v[3] + sweep}
 
 
@@ -196,14 +199,14 @@ def import_piece(path: str, content: bytes) -> dict:
         name = path.rsplit("/", 1)[-1]
         out["id"] = name[:-4] if name.lower().endswith(".dxf") else name
         if not out["id"].strip():
-            raise DxfError("DXF filename must have a non-empty stem")
+            raise DxfError("file", "name is only an ending")
         found = [parsed(*e) for e in entities(content.decode("utf-8", "replace"))]
         points = [p for e in found for p in extremes(e)]
         if not points:
-            raise DxfError("no supported LINE, ARC, CIRCLE, or ELLIPSE geometry")
+            raise DxfError("file", "nothing to cut")
         x0, y0, x1, y1 = min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points)
         if not all(map(math.isfinite, (x0, y0, x1, y1, x1 - x0, y1 - y0))):
-            raise DxfError("DXF geometry bounds must be finite")
+            raise DxfError("file", "bounds overflow")
         out["segments"] = segments_of(found, x0, y0)
         out["width"], out["height"] = float(max(1, math.ceil(x1 - x0))), float(max(1, math.ceil(y1 - y0)))
         out["geometry_key"] = geometry_key(out["width"], out["height"], out["segments"])
@@ -230,4 +233,4 @@ def read_directory(spark: SparkSession, folder: str) -> DataFrame:
 def first_error(pieces: DataFrame) -> DataFrame:
     """The error of the first bad file by path, and whether there are too many files or none."""
     g = pieces.agg(F.count(F.lit(1)).alias("files"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("path"))).alias("error"))
-    return g.select("files", F.when(F.col("files") == 0, "no DXF files").when(F.col("files") > MOST_FILES, f"more than {MOST_FILES} DXF files").otherwise(F.col("error")).alias("error"))
+    return g.select("files", F.when(F.col("files") == 0, "folder: no drawings").when(F.col("files") > MOST_FILES, f"folder: over {MOST_FILES} drawings").otherwise(F.col("error")).alias("error"))
