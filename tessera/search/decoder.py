@@ -75,9 +75,11 @@ class Search:
         self._no_fit: dict[tuple, np.ndarray] = {}
 
     def no_fit(self, fixed: tuple[str, int], fixed_ring, moving: tuple[str, int], moving_ring) -> np.ndarray:
+        """Sides (x1, y1, x2, y2) of the no-fit ring, counter-clockwise."""
         key = (*fixed, *moving)
         if key not in self._no_fit:
-            self._no_fit[key] = np.array(convex.no_fit(list(fixed_ring), list(moving_ring)), dtype=np.int64)
+            ring = np.array(convex.no_fit(list(fixed_ring), list(moving_ring)), dtype=np.int64)
+            self._no_fit[key] = np.concatenate([ring, np.roll(ring, -1, axis=0)], axis=1)
         return self._no_fit[key]
 
     def candidates(self, layout: Layout, shapes: dict[str, Shape], shape: Shape, turn: int, sheet: tuple[int, int] | None = None) -> np.ndarray:
@@ -88,9 +90,11 @@ class Search:
             spots = np.array([[-x0, -y0]], dtype=np.int64)
             ok = sheet is None or (x1 - x0 <= sheet[0] and y1 - y0 <= sheet[1])
             return spots if ok else spots[:0]
-        rings = [self.no_fit(t, shapes_ring, (shape.key, turn), ring) + np.array(p[:2], dtype=np.int64) for t, p, shapes_ring in zip(layout.tokens, layout.places, self._base_rings(layout, shapes), strict=True)]
-        edges = np.concatenate([np.concatenate([r, np.roll(r, -1, axis=0)], axis=1) for r in rings])
-        owner = np.concatenate([np.full(len(r), k) for k, r in enumerate(rings)])
+        rings = [self.no_fit(t, fixed, (shape.key, turn), ring) for t, fixed in zip(layout.tokens, self._base_rings(layout, shapes), strict=True)]
+        lengths = np.array([len(r) for r in rings])
+        shift = np.array([(x, y, x, y) for x, y, _, _ in layout.places], dtype=np.int64)
+        edges = np.concatenate(rings) + np.repeat(shift, lengths, axis=0)
+        owner = np.repeat(np.arange(len(rings)), lengths)
         lines = edges
         if sheet is not None:
             a, b, c, d = -x0, -y0, sheet[0] - x1, sheet[1] - y1
@@ -104,19 +108,21 @@ class Search:
         points = np.unique(np.concatenate([corners, _crossings(lines, owner)]), axis=0)
         if sheet is not None:
             points = points[(points[:, 0] >= a - 1) & (points[:, 0] <= c + 1) & (points[:, 1] >= b - 1) & (points[:, 1] <= d + 1)]
-        chosen = np.zeros((len(points), 2), np.int64)
-        open_ = np.ones(len(points), bool)
+        chosen, found = np.zeros((len(points), 2), np.int64), np.zeros(len(points), bool)
+        walls = _Walls(edges, lengths, points)
+        open_ = ~walls.deep()
         for step in _AROUND:
             if not open_.any():
                 break
             trial = points[open_] + step
-            good = ~_inside_any(trial, rings)
+            good = ~walls.inside(open_, step)
             if sheet is not None:
                 good &= (trial[:, 0] >= a) & (trial[:, 0] <= c) & (trial[:, 1] >= b) & (trial[:, 1] <= d)
             at = np.flatnonzero(open_)[good]
             chosen[at] = trial[good]
             open_[at] = False
-        legal = np.unique(chosen[~open_], axis=0)
+            found[at] = True
+        legal = np.unique(chosen[found], axis=0)
         return legal[np.lexsort((legal[:, 0], legal[:, 1]))]
 
     @staticmethod
@@ -218,13 +224,26 @@ def _crossings(lines: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.rint(p[ok, :2] + d[ok] * f).astype(np.int64)
 
 
-def _inside_any(points: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(points), bool)
-    for r in rings:
-        n = np.roll(r, -1, axis=0) - r
-        side = n[None, :, 0] * (points[:, None, 1] - r[None, :, 1]) - n[None, :, 1] * (points[:, None, 0] - r[None, :, 0])
-        out |= (side > 0).all(axis=1)
-    return out
+class _Walls:
+    """On which side of all sides of all no-fit rings points lie; measured once, as a step by one moves each measure by a known amount."""
+
+    def __init__(self, edges: np.ndarray, lengths: np.ndarray, points: np.ndarray):
+        first, width = np.cumsum(lengths) - lengths, int(lengths.max())
+        # rings are rows of equal width, in which the last side stands for those that a ring lacks
+        e = edges[(first[:, None] + np.minimum(np.arange(width), lengths[:, None] - 1)).ravel()]
+        self.shape = len(lengths), width
+        self.dx, self.dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
+        self.side = self.dx * points[:, 1:] - self.dy * points[:, :1] + (self.dy * e[:, 0] - self.dx * e[:, 1])
+
+    def _in(self, side: np.ndarray) -> np.ndarray:
+        return (side > 0).reshape(-1, *self.shape).all(axis=2).any(axis=1)
+
+    def deep(self) -> np.ndarray:
+        """Points that no step leads out of a ring."""
+        return self._in(self.side - (np.abs(self.dx) + np.abs(self.dy)))
+
+    def inside(self, which: np.ndarray, step: np.ndarray) -> np.ndarray:
+        return self._in(self.side[which] + (self.dx * step[1] - self.dy * step[0]))
 
 
 def metrics(layout: Layout) -> dict:

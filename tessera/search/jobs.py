@@ -17,7 +17,7 @@ from tessera.operators.pareto import exact_deficit
 from tessera.search import capacity, periodic
 from tessera.search.decoder import Layout, Search, Shape, fitting_turn, metrics
 
-ROLES = ("pure-growth", "area-first", "contact-band")
+ROLES = ("pure-growth", "area-first", "gap-contained")
 SAFETY = 250
 
 OUTCOME = (
@@ -71,11 +71,13 @@ def families(shapes: list[Shape]) -> list[list[Shape]]:
 
 
 def periodic_seeds(shapes: list[Shape], most: int = 8) -> list[Layout]:
-    """Layouts of all members of a family by the best crops of its cells."""
-    out: dict[tuple, Layout] = {}
-    for family in families(shapes):
+    """Layouts of all members of a family by the best crops of its cells. Families take turns, so that each has its first layouts among the ``most`` that are kept."""
+    out: list[tuple[int, int, Layout]] = []
+    seen: set[tuple] = set()
+    for number, family in enumerate(families(shapes)):
         if len(family) < 2:
             continue
+        rank = 0
         turns = [list(r) for _, _, r in family[0].turns]
         half = {k: j for k, (d, m, _) in enumerate(family[0].turns) for j, (e, n, _) in enumerate(family[0].turns) if m == n and (d + 180.0) % 360.0 == e}
         for cell in periodic.cells(turns, half)[:6]:
@@ -84,8 +86,11 @@ def periodic_seeds(shapes: list[Shape], most: int = 8) -> list[Layout]:
                 for shape, (t, x, y) in zip(family, crop, strict=True):
                     layout = layout.placed(shape, t, x, y)
                 layout = layout.anchored()
-                out.setdefault((family[0].key, *layout.bounds()), layout)
-    return list(out.values())[:most]
+                if (number, *layout.bounds()) not in seen:
+                    seen.add((number, *layout.bounds()))
+                    out.append((rank, number, layout))
+                    rank += 1
+    return [layout for _, _, layout in sorted(out, key=lambda s: s[:2])[:most]]
 
 
 def legal(layout: Layout, sheet: tuple[int, int] | None) -> bool:
