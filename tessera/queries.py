@@ -1152,3 +1152,39 @@ SELECT job_id, sha256(min(txt)) AS layout_hash FROM l GROUP BY job_id"""
 )
 def ring_layout_identity(t: Instances) -> DataFrame:
     return geometry.ring_layout_identity(_placed_rings(t))
+
+
+# --- exact containment, hulls of millimetres, crossings with a line ---------------------------------------------------
+
+
+@query(cte("piece") + f"SELECT piece_id, CAST(CASE WHEN kind = 1 THEN 3 ELSE 4 END AS BIGINT) AS corners, round(CAST({AREA2} AS DOUBLE) / 2000000, 6) AS area FROM piece")
+def float_hull(t: Instances) -> DataFrame:
+    mm = lambda p: F.struct((p["x"] / 1000.0).alias("x"), (p["y"] / 1000.0).alias("y"))
+    inner = F.array(F.struct((F.col("w") / 4000.0).alias("x"), (F.col("h") / 4000.0).alias("y")), F.struct(F.lit(-0.0).alias("x"), F.lit(-0.0).alias("y")))
+    hulls = kernels.float_hulls(with_ring(t.piece).select("piece_id", F.concat(inner, F.transform("ring", mm), F.reverse(F.transform("ring", mm))).alias("points")))
+    ring, at = F.col("hull"), lambda k: grid.cyclic(F.col("hull"), k)
+    area = F.aggregate(F.transform(grid.indices(ring), lambda k: at(k)["x"] * at(k + 1)["y"] - at(k + 1)["x"] * at(k)["y"]), F.lit(0.0), lambda s, v: s + v) / 2
+    return hulls.select("piece_id", F.size("hull").cast("long").alias("corners"), F.round(area, 6).alias("area"))
+
+
+@query(cte("layout") + "SELECT job_id, ord, qty % 5 > 0 AND (kind > 0 OR qty % 3 > 0) AS contained FROM layout")
+def exact_gap_containment(t: Instances) -> DataFrame:
+    box = lambda x0, y0, x1, y1: F.array(grid.point(x0, y0), grid.point(x1, y0), grid.point(x1, y1), grid.point(x0, y1))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    # of the three kinds only a rectangle reaches the hole in the upper right corner
+    hole = box(x + w - F.expr("w div 8"), y + h - F.expr("h div 8"), x + w, y + h)
+    rows = with_ring(t.layout).select("job_id", "ord", grid.translate(F.col("ring"), x, y).alias("ring"), box(x, y, x + w - F.when(F.col("qty") % 5 == 0, 1000).otherwise(0), y + h).alias("boundary"), F.when(F.col("qty") % 3 == 0, F.array(hole)).otherwise(F.array().cast("array<array<struct<x:bigint,y:bigint>>>")).alias("holes"))
+    return kernels.gap_contained(rows)
+
+
+@query(
+    cte("layout")
+    + """, s AS (SELECT job_id, ord, (5000 - y) / CAST(h AS DOUBLE) AS t, x, w, kind FROM layout),
+e AS (SELECT job_id, ord, CASE WHEN kind = 2 THEN x + (w // 4) * t ELSE x END AS l, CASE kind WHEN 0 THEN x + w WHEN 1 THEN x + w - w * t ELSE x + w - (w // 4) * t END AS r FROM s),
+p AS (SELECT job_id, ord, l AS v FROM e UNION ALL SELECT job_id, ord, r FROM e)
+SELECT DISTINCT job_id, round(v, 3) AS x, 5000.0::DOUBLE AS y FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.job_id = p.job_id AND e.ord <> p.ord AND e.l + 0.000001 < p.v AND p.v < e.r - 0.000001)"""
+)
+def union_line_crossings(t: Instances) -> DataFrame:
+    groups = _placed_rings(t).groupBy("job_id").agg(F.collect_list("ring").alias("rings"))
+    crossings = kernels.union_line_crossings(groups.withColumns({"axis": F.lit(1), "value": F.lit(5000)}))
+    return crossings.select("job_id", F.round("x", 3).alias("x"), "y")

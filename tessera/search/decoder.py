@@ -69,14 +69,20 @@ class Layout:
 
 
 class Search:
-    """No-fit rings are remembered by (shape, turn) pairs."""
+    """No-fit rings are remembered by (shape, turn) pairs. Counts how often one was asked for and made, and the candidates that were scored."""
 
     def __init__(self) -> None:
         self._no_fit: dict[tuple, np.ndarray] = {}
+        self.lookups, self.evaluated = 0, 0
+
+    @property
+    def hits(self) -> int:
+        return self.lookups - len(self._no_fit)
 
     def no_fit(self, fixed: tuple[str, int], fixed_ring, moving: tuple[str, int], moving_ring) -> np.ndarray:
         """Sides (x1, y1, x2, y2) of the no-fit ring, counter-clockwise."""
         key = (*fixed, *moving)
+        self.lookups += 1
         if key not in self._no_fit:
             ring = np.array(convex.no_fit(list(fixed_ring), list(moving_ring)), dtype=np.int64)
             self._no_fit[key] = np.concatenate([ring, np.roll(ring, -1, axis=0)], axis=1)
@@ -144,6 +150,7 @@ class Search:
             w, h = hi_x - lo_x, hi_y - lo_y
             keys = (h, w, w * h) if strip else (np.maximum(w, h), w * h, w + h)
             out += list(zip(*(k.tolist() for k in keys), [turn] * len(spots), spots[:, 1].tolist(), spots[:, 0].tolist(), strict=True))
+        self.evaluated += len(out)
         return out
 
     def contact(self, layout: Layout, shape: Shape, c: tuple) -> float:

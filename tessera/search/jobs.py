@@ -19,10 +19,12 @@ from tessera.search.decoder import Layout, Search, Shape, fitting_turn, metrics
 
 ROLES = ("pure-growth", "area-first", "gap-contained")
 SAFETY = 250
+#: Fixed value: no further reconstruction starts once they have scored this many candidates.
+RECONSTRUCTION_EVALUATIONS = 12_000
 
 OUTCOME = (
     "job_id long, status string, placed long, unplaced long, origin string, layout_hash string, max_side long, area long, span long, hull long, waste long, cavities long, components long, isolated long, largest long, "
-    "contact long, legal boolean, evaluated long, placements array<struct<id:string,x:long,y:long,rotation:double,mirrored:boolean>>, unplaced_ids array<string>, error string"
+    "contact long, legal boolean, evaluated long, no_fit_lookups long, no_fit_hits long, placements array<struct<id:string,x:long,y:long,rotation:double,mirrored:boolean>>, unplaced_ids array<string>, error string"
 )
 
 
@@ -112,9 +114,30 @@ def endpoint_key(m: dict, identity: str) -> tuple:
     return deficit, m["cavities"], m["gap"] / m["hull"], m["max_side"], m["area"], m["span"], identity
 
 
-def solve(shapes: list[Shape], sheet: tuple[int, int], beam: int, seeds: int = 8) -> tuple[Layout, str, int]:
+def endpoint_orders(shapes: list[Shape], layout: Layout) -> list[list[Shape]]:
+    """The pieces backwards, and by the centres of their boxes in a layout: left to right, right to left, top down, bottom up."""
+    box = {i: convex.bounds(r) for i, r in zip(layout.ids, layout.rings, strict=True)}
+    centre = {i: (b[0] + b[2], b[1] + b[3]) for i, b in box.items()}
+    lead = [lambda x, y: x, lambda x, y: -x, lambda x, y: -y, lambda x, y: y]
+    return [shapes[::-1], *(sorted(shapes, key=lambda s, k=k: (k(*centre[s.id]), *centre[s.id][::-1], s.id)) for k in lead)]
+
+
+def reconstructions(search: Search, shapes: list[Shape], by_id: dict[str, Shape], best: Layout, most: int = RECONSTRUCTION_EVALUATIONS) -> list[Layout]:
+    """Decodings in the orders taken from the best endpoint, first by pure growth, then into gaps. Orders that differ only in interchangeable pieces are one."""
+    out, first = [], search.evaluated
+    done = {(role, tuple(s.key for s in shapes)) for role in ROLES}
+    for role in ("pure-growth", "gap-contained"):
+        for order in endpoint_orders(shapes, best):
+            name = role, tuple(s.key for s in order)
+            if name not in done and search.evaluated - first < most:
+                done.add(name)
+                out.append(search.decode(order, by_id, role))
+    return out
+
+
+def solve(shapes: list[Shape], sheet: tuple[int, int], beam: int, seeds: int = 8, search: Search | None = None) -> tuple[Layout, str, int]:
     """The layout, where it comes from, and how many places the capacity search tried."""
-    search, by_id = Search(), {s.id: s for s in shapes}
+    search, by_id = search or Search(), {s.id: s for s in shapes}
     endpoints: list[tuple[str, Layout]] = []
     if not impossible(shapes, sheet):
         endpoints = [(role, search.decode(shapes, by_id, role)) for role in ROLES]
@@ -123,9 +146,7 @@ def solve(shapes: list[Shape], sheet: tuple[int, int], beam: int, seeds: int = 8
             endpoints.append(("periodic", search.decode([s for s in shapes if s.id not in done], by_id, "pure-growth", seed)))
         fitting = [(n, e) for n, e in endpoints if legal(e, None)]
         best = min(fitting, key=lambda e: endpoint_key(metrics(e[1]), e[1].identity()))[1]
-        for axis, sign in ((0, 1), (1, 1)):
-            centre = {i: sum(p[axis] for p in r) / len(r) * sign for i, r in zip(best.ids, best.rings, strict=True)}
-            endpoints.append(("reconstruction", search.decode(sorted(shapes, key=lambda s: (centre[s.id], s.id)), by_id)))
+        endpoints += [("reconstruction", e) for e in reconstructions(search, shapes, by_id, best)]
     ranked = sorted(((endpoint_key(metrics(e), e.identity()), n, e) for n, e in endpoints if fitting_turn(e, sheet) is not None and legal(e, None)), key=lambda r: r[0])
     if ranked:
         _, name, layout = ranked[0]
@@ -209,15 +230,15 @@ def directional_key_cheap(layout: Layout, short: int) -> tuple:
 def solve_job(pdf: pd.DataFrame, beam: int, cap: int, decode_only: bool) -> dict:
     head = pdf.iloc[0]
     sheet = int(head["sheet_w"]), int(head["sheet_h"])
-    out = {"job_id": int(head["job_id"]), "status": "success", "origin": None, "layout_hash": None, "legal": True, "placements": [], "unplaced_ids": [], "error": None, "evaluated": 0}
+    out = {"job_id": int(head["job_id"]), "status": "success", "origin": None, "layout_hash": None, "legal": True, "placements": [], "unplaced_ids": [], "error": None, "evaluated": 0, "no_fit_lookups": 0, "no_fit_hits": 0}
     out |= {k: 0 for k in ("placed", "unplaced", "max_side", "area", "span", "hull", "waste", "cavities", "components", "isolated", "largest", "contact")}
     try:
         shapes = prepare(pdf.to_dict("records"), int(head["padding"]), cap)
+        search = Search()
         if decode_only:
-            search = Search()
             layout, origin, tried = search.decode(shapes, {s.id: s for s in shapes}, sheet=sheet), "decoder", 0
         else:
-            layout, origin, tried = solve(shapes, sheet, beam)
+            layout, origin, tried = solve(shapes, sheet, beam, search=search)
             if head.get("profile") == "compact-short-side" and layout.ids:
                 layout, origin = short_side([s for s in shapes if s.id in set(layout.ids)], sheet, layout)
     except ValueError as error:
@@ -232,6 +253,8 @@ def solve_job(pdf: pd.DataFrame, beam: int, cap: int, decode_only: bool) -> dict
         "unplaced": len(missing),
         "contact": round(m["contact"]),
         "evaluated": tried,
+        "no_fit_lookups": search.lookups,
+        "no_fit_hits": search.hits,
         "placements": [{"id": i, "x": x, "y": y, "rotation": float(d), "mirrored": bool(f)} for i, (x, y, d, f) in zip(layout.ids, layout.places, strict=True)],
         "unplaced_ids": missing,
         **{k: int(m[k]) for k in ("max_side", "area", "span", "hull", "waste", "cavities", "components", "isolated", "largest")},

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera.functions import grid
 from tessera.kernels import boolean, convex
 from tessera.kernels.regions import region_at
-from tessera.operators import geometry, pareto, validation
+from tessera.operators import geometry, kernels, pareto, validation
+from tessera.search import jobs, periodic
 from tessera.search.decoder import Layout, Search, Shape
 from tessera.sources import requests
 
@@ -128,3 +129,44 @@ def test_regions_hold_their_points():
 def test_quarter_turn_of_a_ring(spark):
     got = spark.range(1).select(grid.quarter_turn(F.array(grid.point(F.lit(1), F.lit(2))), F.lit(90), F.lit(False)).alias("r")).first().r
     assert (got[0].x, got[0].y) == (-2, 1)
+
+
+def test_line_crossings_bound_what_is_inside():
+    rng = random.Random(8)
+    for _ in range(30):
+        rings = [r for r in (convex.hull([(rng.randrange(30), rng.randrange(30)) for _ in range(5)]) for _ in range(3)) if len(r) > 2]
+        for axis in (0, 1):
+            for value in (0, 7, 15):
+                points = periodic.line_crossings(rings, axis, value)
+                on = [p[1 - axis] for p in points]
+                assert on == sorted(set(on)) and all(p[axis] == value for p in points)
+                inside = lambda t: any(convex.strictly_inside(r, (value, t) if axis == 0 else (t, value)) for r in rings)
+                for p in points:
+                    assert not inside(p[1 - axis])
+                # between neighbouring crossings a point is in the union throughout or nowhere
+                for a, b in zip(on, on[1:], strict=False):
+                    assert len({inside(a + (b - a) * Fraction(k, 7)) for k in (1, 3, 6)}) == 1
+
+
+def test_reconstruction_orders_follow_the_centres_and_skip_what_is_alike():
+    ring = ((0, 0), (10_000, 0), (10_000, 10_000), (0, 10_000))
+    shapes = [Shape(str(k), "a" if k < 2 else "b", ((0.0, False, ring if k < 2 else tuple((2 * x, y) for x, y in ring)),), 1) for k in range(4)]
+    by_id = {s.id: s for s in shapes}
+    search = Search()
+    layout = search.decode(shapes, by_id)
+    orders = jobs.endpoint_orders(shapes, layout)
+    assert [[s.id for s in o] for o in orders][0] == ["3", "2", "1", "0"] and all(sorted(s.id for s in o) == ["0", "1", "2", "3"] for o in orders)
+    x = {i: convex.bounds(r)[0] + convex.bounds(r)[2] for i, r in zip(layout.ids, layout.rings, strict=True)}
+    assert [x[s.id] for s in orders[1]] == sorted(x.values()) and [x[s.id] for s in orders[2]] == sorted(x.values(), reverse=True)
+    found = jobs.reconstructions(search, shapes, by_id, layout)
+    assert 1 <= len(found) <= 10 and all(len(e.ids) == 4 and jobs.legal(e, None) for e in found)
+    assert not jobs.reconstructions(Search(), shapes[:2], by_id, layout) and not jobs.reconstructions(Search(), shapes, by_id, layout, most=0)
+    assert 0 < search.hits < search.lookups
+
+
+def test_free_regions_of_rings_of_different_lengths(spark):
+    point = "array<array<struct<x:long,y:long>>>"
+    rings = [[(0, 0), (40, 0), (40, 100), (0, 100)], [(40, 0), (60, 0), (40, 20)], [(60, 0), (100, 0), (100, 100), (60, 100)], [(40, 60), (60, 60), (60, 100), (40, 100)]]
+    df = spark.createDataFrame([(1, 100, 100, [[{"x": x, "y": y} for x, y in r] for r in rings]), (2, 10, 10, [])], f"job_id long, sheet_w long, sheet_h long, rings {point}")
+    got = {r.job_id: (r.regions, r.total) for r in kernels.free_regions(df).collect()}
+    assert got == {1: (1, str(2 * (20 * 60) - 400)), 2: (1, "200")}
