@@ -26,5 +26,7 @@ def ring_layout_identity(rings: DataFrame) -> DataFrame:
     turned = rings.withColumn("turn", F.explode(F.array(*map(F.lit, (0, 90, 180, 270))))).select("job_id", "turn", quarter_turn(F.col("ring"), F.col("turn"), F.lit(False)).alias("ring"))
     low = bounds(F.col("ring"))
     layouts = turned.groupBy("job_id", "turn").agg(F.collect_list("ring").alias("rings"), F.min(low["min_x"]).alias("x0"), F.min(low["min_y"]).alias("y0"))
-    text = F.array_join(F.array_sort(F.transform("rings", lambda r: ring_key(translate(r, -F.col("x0"), -F.col("y0"))))), "|")
+    # moved first, so that reading a ring from all its corners does not move it again for each point
+    moved = F.transform("rings", lambda r: translate(r, -F.col("x0"), -F.col("y0")))
+    text = F.array_join(F.array_sort(F.transform(moved, ring_key)), "|")
     return layouts.groupBy("job_id").agg(F.sha2(F.min(text), 256).alias("layout_hash"))
