@@ -6,10 +6,10 @@ it is better in one and not worse in the other. Ratios are compared exactly, by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,33 +98,46 @@ def exact_deficit(cavities: int, isolated: int, largest: int, placed: int, gap:
     return cap(cavities - 2, 2) + cap(isolated - 2, 2) + cap(4 * placed - 5 * largest, 4 * placed) + cap(20 * gap - 3 * hull, 3 * hull)
 
 
-def _draft(rows: pd.DataFrame) -> pd.DataFrame:
+def _by_job(rows: DataFrame, pick: Callable[[list[dict]], list[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """pick of the rows of each job. Jobs are lists in batches of many, as a call of pandas for each would cost more than what is picked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([one for of_job in batch.column("rows").to_pylist() for one in pick(of_job)], schema=schema)
+
+    lists = rows.groupBy("job_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    return lists.select("rows").mapInArrow(run, ddl)
+
+
+def _draft(left: list[dict]) -> list[dict]:
     """Takes in turn the best of what is left by compactness, by voids and by contact."""
-    left = rows.to_dict("records")
     keys = [
         lambda r: (r["max_side"], r["area"], r["span"], r["hash"]),
-        lambda r: (r["cavities"], r["cavity_area"], Fraction(int(r["gap"]), int(r["hull"])), Fraction(int(r["waste"]), int(r["hull"])), r["hash"]),
+        lambda r: (r["cavities"], r["cavity_area"], Fraction(r["gap"], r["hull"]), Fraction(r["waste"], r["hull"]), r["hash"]),
         lambda r: (r["isolated"], r["component_count"], -r["largest"], -r["structural"], -r["dominant"], -r["contact"], r["hash"]),
     ]
-    out = []
+    out, left = [], list(left)
     while left:
-        best = min(left, key=keys[len(out) % 3])
+        best = min(left, key=keys[len(out) % 3]) if len(left) > 1 else left[0]
         left.remove(best)
-        out.append((best["job_id"], best["endpoint_id"], len(out) + 1))
-    return pd.DataFrame(out, columns=["job_id", "endpoint_id", "place"])
+        out.append({"job_id": best["job_id"], "endpoint_id": best["endpoint_id"], "place": len(out) + 1})
+    return out
 
 
 def ordered_front(layouts: DataFrame) -> DataFrame:
     """The front of each job in the order of a draft; a front is small, as its members differ in both objectives."""
-    return front(layouts).groupBy("job_id").applyInPandas(_draft, "job_id long, endpoint_id long, place long")
+    names = ["endpoint_id", "max_side", "area", "span", "hash", "cavities", "cavity_area", "gap", "hull", "waste", "isolated", "component_count", "largest", "structural", "dominant", "contact"]
+    schema = pa.schema([("job_id", pa.int64()), ("endpoint_id", pa.int64()), ("place", pa.int64())])
+    return _by_job(front(layouts).select("job_id", *names), _draft, schema, "job_id long, endpoint_id long, place long")
 
 
 def archive_winner(layouts: DataFrame) -> DataFrame:
     """Of the front: least deficit, cavities, hull gap ratio, envelope, hash. Ratios are compared as fractions of one pair at a time."""
     names = ["endpoint_id", "cavities", "isolated", "largest", "placed", "gap", "hull", "max_side", "area", "span", "hash"]
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        best = min(rows.to_dict("records"), key=lambda r: (exact_deficit(*(int(r[k]) for k in ("cavities", "isolated", "largest", "placed", "gap", "hull"))), r["cavities"], Fraction(int(r["gap"]), int(r["hull"])), r["max_side"], r["area"], r["span"], r["hash"]))
-        return pd.DataFrame([(best["job_id"], best["endpoint_id"])], columns=["job_id", "endpoint_id"])
+    def pick(rows: list[dict]) -> list[dict]:
+        best = rows[0] if len(rows) == 1 else min(rows, key=lambda r: (exact_deficit(*(r[k] for k in ("cavities", "isolated", "largest", "placed", "gap", "hull"))), r["cavities"], Fraction(r["gap"], r["hull"]), r["max_side"], r["area"], r["span"], r["hash"]))
+        return [{"job_id": best["job_id"], "endpoint_id": best["endpoint_id"]}]
 
-    return front(layouts).select("job_id", *names).groupBy("job_id").applyInPandas(pick, "job_id long, endpoint_id long")
+    schema = pa.schema([("job_id", pa.int64()), ("endpoint_id", pa.int64())])
+    return _by_job(front(layouts).select("job_id", *names), pick, schema, "job_id long, endpoint_id long")
