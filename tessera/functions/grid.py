@@ -169,9 +169,16 @@ def bottom_left(ring: Column) -> Column:
 
 def ring_key(ring: Column) -> Column:
     """The same text for a ring from any start and in either winding: the least of all its readings."""
-    token = lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))
-    read = lambda k, way: F.array_join(F.transform(indices(ring), lambda j: token(cyclic(ring, k + j * way))), ";")
-    return F.array_min(F.concat(F.transform(indices(ring), lambda k: read(k, F.lit(1))), F.transform(indices(ring), lambda k: read(k, F.lit(-1)))))
+    # the least reading starts with the least token, which is compared with the mark behind it as in a text; each token is written once
+    tokens = F.transform(ring, lambda p: F.concat(p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit(";")))
+    way = F.array(tokens, F.reverse(tokens))
+
+    def readings(t: Column) -> Column:
+        starts = F.filter(indices(t), lambda k: F.element_at(t, (k + 1).cast("int")) == F.array_min(t))
+        return F.transform(starts, lambda k: F.array_join(F.concat(F.slice(t, (k + 1).cast("int"), F.size(t)), F.slice(t, F.lit(1), k.cast("int"))), ""))
+
+    least = F.array_min(F.flatten(F.transform(way, readings)))
+    return F.rtrim(least, F.lit(";"))
 
 
 def contains_strictly(ring: Column, x: Column, y: Column) -> Column:
