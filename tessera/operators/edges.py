@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.grid import cyclic, indices, wide
+from tessera.functions.grid import bounds, cyclic, indices, wide
 
 #: Side of a cell of the index of edges.
 CELL = 128_000
@@ -33,6 +33,25 @@ def _pairs(one: DataFrame, two: DataFrame, ordered: bool) -> DataFrame:
     return a.join(b, ["job_id", "cx", "cy"]).where(which & meet & home).drop("cx", "cy")
 
 
+def _pairs_of_rings(rings: DataFrame) -> DataFrame:
+    """Edge pairs of different rings of a job (a before b by ord) whose boxes meet, of those rings whose own boxes share area: edges that properly cross lie in no other.
+    Rings are paired first, so that edges arise only of rings that can cross."""
+    at = lambda v: F.floor(v / CELL).cast("long")
+    box = bounds(F.col("ring"))
+    r = rings.select("job_id", "ord", "ring", *[box[f"{m}_{v}"].alias(f"{m}_{v}") for m in ("min", "max") for v in "xy"])
+    cells = r.withColumn("cx", F.explode(F.sequence(at(F.col("min_x")), at(F.col("max_x"))))).withColumn("cy", F.explode(F.sequence(at(F.col("min_y")), at(F.col("max_y")))))
+    a, b = (cells.select("job_id", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in r.columns[1:]]) for side in "ab")
+    c = F.col
+    share = (c("a_min_x") < c("b_max_x")) & (c("b_min_x") < c("a_max_x")) & (c("a_min_y") < c("b_max_y")) & (c("b_min_y") < c("a_max_y"))
+    home = (at(F.greatest("a_min_x", "b_min_x")) == c("cx")) & (at(F.greatest("a_min_y", "b_min_y")) == c("cy"))
+    pairs = a.join(b, ["job_id", "cx", "cy"]).where((c("a_ord") < c("b_ord")) & share & home).select("job_id", "a_ord", "b_ord", "a_ring", "b_ring")
+    for side in "ab":
+        pairs = pairs.withColumn(f"{side}_edge", F.explode(indices(c(f"{side}_ring")))).withColumn(f"{side}_edge", c(f"{side}_edge").cast("long"))
+        p, q = cyclic(c(f"{side}_ring"), c(f"{side}_edge")), cyclic(c(f"{side}_ring"), c(f"{side}_edge") + 1)
+        pairs = pairs.withColumns({f"{side}_x1": p["x"], f"{side}_y1": p["y"], f"{side}_x2": q["x"], f"{side}_y2": q["y"]})
+    return pairs.drop("a_ring", "b_ring")
+
+
 def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return wide(ax) * wide(by) - wide(ay) * wide(bx)
 
@@ -43,8 +62,7 @@ def _d(side: str) -> tuple[Column, Column]:
 
 def crossings(rings: DataFrame) -> DataFrame:
     """Points in which edges of different rings of a job properly cross, rounded to the grid."""
-    e = edges(rings)
-    p = _pairs(e, e, True)
+    p = _pairs_of_rings(rings)
     (ax, ay), (bx, by) = _d("a"), _d("b")
     gx, gy = F.col("b_x1") - F.col("a_x1"), F.col("b_y1") - F.col("a_y1")
     den, t, u = _cross(ax, ay, bx, by), _cross(gx, gy, bx, by), _cross(gx, gy, ax, ay)
