@@ -1,5 +1,6 @@
 """Layout searches on many jobs: array steps over all turns of a piece, jobs dealt out, the same outcomes."""
 
+import hashlib
 import random
 
 import pandas as pd
@@ -32,3 +33,25 @@ def test_decoder_makes_the_rings_of_all_turns_in_one_step(monkeypatch):
     real = no_fit.sides
     monkeypatch.setattr(no_fit, "sides", lambda fixed, moving: made.append(1) or real(fixed, moving))
     assert jobs.solve_job(pd.DataFrame(rows), 4, 8, True)["placed"] == 5 and len(made) == 4
+
+
+def test_searches_give_what_they_gave_turn_by_turn():
+    # digest of all outcomes by the code of round 2, which took each turn and each ring alone
+    rng = random.Random(21)
+    out = []
+    for job, sheet in enumerate([(150_000, 120_000), (900_000, 700_000), (110_000, 110_000)]):
+        rows = _five_pieces(job, sheet, rng)
+        out += [jobs.solve_job(pd.DataFrame(rows), 4, 8, only) for only in (True, False)]
+    assert {o["origin"] for o in out} == {"decoder", "reconstruction", "periodic", "capacity"}
+    assert hashlib.sha256(repr(out).encode()).hexdigest()[:16] == "18b5ac9a6b63fa16"
+
+
+def test_jobs_are_dealt_out_and_equal_layouts_measured_once(spark, monkeypatch):
+    rows = [r for job in range(3) for r in _five_pieces(job, (900_000, 700_000), random.Random(21))]
+    df = spark.createDataFrame(rows, "job_id long, id string, ring array<struct<x:long,y:long>>, allow_rotation boolean, allow_mirror boolean, padding long, sheet_w long, sheet_h long")
+    assert jobs.layout_jobs(df.coalesce(1)).rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    seen = []
+    real = jobs.metrics
+    monkeypatch.setattr(jobs, "metrics", lambda layout: seen.append(str(layout.rings)) or real(layout))
+    jobs.solve(jobs.prepare(rows[:5], 4000), (900_000, 700_000), 4)
+    assert len(seen) == len(set(seen)) > 1
