@@ -6,7 +6,7 @@ import random
 import pandas as pd
 import pytest
 from tessera.kernels import convex, no_fit
-from tessera.search import jobs
+from tessera.search import decoder, jobs
 
 
 def test_no_fit_sides_of_all_turns_at_once():
@@ -55,3 +55,20 @@ def test_jobs_are_dealt_out_and_equal_layouts_measured_once(spark, monkeypatch):
     monkeypatch.setattr(jobs, "metrics", lambda layout: seen.append(str(layout.rings)) or real(layout))
     jobs.solve(jobs.prepare(rows[:5], 4000), (900_000, 700_000), 4)
     assert len(seen) == len(set(seen)) > 1
+
+
+def test_contacts_and_picks_are_found_once(monkeypatch):
+    rows = _five_pieces(0, (900_000, 700_000), random.Random(21))
+    shapes = jobs.prepare(rows, 4000)
+    by_id, seen = {s.id: s for s in shapes}, []
+    real = convex.contact_length
+    monkeypatch.setattr(convex, "contact_length", lambda a, b: seen.append((min(a), tuple(convex.moved(a, -a[0][0], -a[0][1])), tuple(convex.moved(b, -a[0][0], -a[0][1])))) or real(a, b))
+    search = decoder.Search()
+    first = search.decode(shapes, by_id, "gap-contained")
+    alone = [s[1:] for s in seen]
+    assert alone and len(alone) == len(set(alone))
+    assert search.decode(shapes, by_id, "gap-contained") == first and len(seen) == len(alone)
+    # what is remembered is what a new measure gives
+    c = search.scored(first, by_id, shapes[0])[0]
+    ring = convex.moved(shapes[0].turns[c[3]][2], c[5], c[4])
+    assert search.contact(first, shapes[0], c) == sum(real(ring, r) for r in first.rings if convex.contact_length(ring, r))
