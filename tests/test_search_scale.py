@@ -72,3 +72,20 @@ def test_contacts_and_picks_are_found_once(monkeypatch):
     c = search.scored(first, by_id, shapes[0])[0]
     ring = convex.moved(shapes[0].turns[c[3]][2], c[5], c[4])
     assert search.contact(first, shapes[0], c) == sum(real(ring, r) for r in first.rings if convex.contact_length(ring, r))
+
+
+def test_jobs_side_by_side_end_as_alone(monkeypatch):
+    rng = random.Random(21)
+    sheets = [(150_000, 120_000), (900_000, 700_000), (110_000, 110_000), (900_000, 700_000), (50_000, 40_000), (900_000, 700_000), (400_000, 220_000)]
+    rows = [_five_pieces(job, sheet, rng)[: 5 - job % 2] for job, sheet in enumerate(sheets)]
+    rows[3][0]["ring"] = rows[3][0]["ring"][:2]
+    for only in (False, True):
+        alone = [jobs.solve_job(pd.DataFrame(r), 4, 8, only) for r in rows]
+        assert {o["status"] for o in alone} == {"success", "failure"}
+        steps = []
+        real = decoder._legal
+        with monkeypatch.context() as m:
+            m.setattr(decoder, "_legal", lambda walls, frame, real=real, steps=steps: steps.append(len(walls)) or real(walls, frame))
+            assert decoder.together([jobs.job_steps(r, 4, 8, only) for r in rows]) == alone
+        assert max(steps) > 8
+    assert [len(some) for some in jobs._side_by_side([[{}] * 300, [{}] * 212, [{}], [{}] * 900, [{}]])] == [2, 1, 1, 1]
